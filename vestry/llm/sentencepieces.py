@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from functools import lru_cache
 from itertools import chain
 
 import pyarrow as pa
@@ -195,6 +196,12 @@ class BacktrackingEncoder:
         return self.sp.decode(ids)
 
 
+@lru_cache(maxsize=1)
+def _encoder(model_file: str, memo: int) -> BacktrackingEncoder:
+    """One encoder a worker process; its memories outlive a task."""
+    return BacktrackingEncoder(model_file, memo)
+
+
 def encode_decode(
     docs: DataFrame,
     model_file: str,
@@ -215,7 +222,7 @@ def encode_decode(
     extra = ", ids array<int>, decoded string" if keep_ids else ""
 
     def run(batches):
-        enc = BacktrackingEncoder(model_file, memo)
+        enc = _encoder(model_file, memo)
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
