@@ -129,7 +129,7 @@ def _matrix(batch) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(batch.num_rows, -1)
 
 
-def _summed(df: DataFrame, of_batch, size: int, parts: int = 16) -> np.ndarray:
+def _summed(df: DataFrame, of_batch, size: int, parts: int = 4) -> np.ndarray:
     """Sum over all rows of the vectors that ``of_batch`` makes; at most ``parts`` vectors reach the driver."""
 
     def first(batches):
