@@ -13,6 +13,7 @@ folder, so that any store that Spark reads and writes will do.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -137,53 +138,74 @@ _NUMBER = "0-9²³¹¼½¾"
 _PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 )
-#: Characters for which the cut above is left to the library: controls, and all from U+0250 on.
+#: Bytes of Latin-1 that are no controls; a text with other characters below U+0250 is searched, any beyond go to the library.
+_PLAIN = bytes(b for b in range(256) if b not in range(9) and b not in range(14, 32) and b not in range(127, 160))
 _STRANGE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-ɏ]")
 
 
-class ByteLevelEncoder:
-    """The library's ids, with a bounded memory of pieces it has encoded before."""
+def is_plain(text: str) -> bool:
+    """Whether :data:`_PIECES` cuts the text as the library does."""
+    try:
+        return not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        return not _STRANGE.search(text)
 
-    def __init__(self, file: str, memo: int = 400_000):
+
+def byte_symbols() -> list[str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
+
+
+class ByteLevelEncoder(dict):
+    """The library's ids, with a bounded memory of the pieces that its model has encoded before.
+
+    A text is cut into the pieces that merges don't cross; the library's model
+    encodes each new piece.  Texts that the cut isn't certain for go to the
+    library whole.  The memory has two generations, so that frequent pieces
+    stay when it is full.
+    """
+
+    def __init__(self, file: str, memo: int = 200_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.library = Tokenizer.from_file(file)
         self.library.encode_special_tokens = True
+        self.model = self.library.model
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.size, self.young, self.old = memo, {}, {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
+        self.symbols = byte_symbols()
+        self.size, self.old = memo, {}
+
+    def piece(self, text: str) -> list[int]:
+        symbols = self.symbols
+        return [t.id for t in self.model.tokenize("".join([symbols[b] for b in text.encode()]))]
+
+    def ids(self, text: str) -> list[int]:
+        if not is_plain(text):
+            return self.library.encode(text, add_special_tokens=False).ids
+        return [i for p in _PIECES.findall(text) for i in self.piece(p)]
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = np.array(self.piece(piece), dtype=self.kind).tobytes()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(texts)
-        cut: dict[int, list[str]] = {}
-        odd = []
-        for k, t in enumerate(texts):
-            if _STRANGE.search(t):
-                odd.append(k)
-            else:
-                cut[k] = _PIECES.findall(t)
-        for k, b in zip(odd, self._library([texts[k] for k in odd])):
-            out[k] = b
-        young, old = self.young, self.old
-        new = []
-        for p in set().union(*cut.values()):
-            if p not in young:
-                if (b := old.get(p)) is not None:
-                    young[p] = b
-                else:
-                    new.append(p)
-        for p, b in zip(new, self._library(new)):
-            young[p] = b
-        get = young.__getitem__
-        for k, pieces in cut.items():
-            out[k] = b"".join(map(get, pieces))
-        if len(young) > self.size:
-            self.young, self.old = {}, young
-        return out
+        """The ids of each text as little-endian bytes."""
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+        get = self.__getitem__
+        return [
+            b"".join(map(get, _PIECES.findall(t))) if is_plain(t) else np.array(self.ids(t), dtype=self.kind).tobytes() for t in texts
+        ]
 
 
 @lru_cache(maxsize=1)
@@ -199,7 +221,7 @@ def write_files(
     id_col: str = "doc_id",
     text_col: str = "text",
     file_ids: int = 1 << 20,
-    memo: int = 400_000,
+    memo: int = 200_000,
 ) -> str:
     """Encodes all texts in ascending id order into files; returns the table's folder.
 
