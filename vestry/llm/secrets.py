@@ -21,9 +21,9 @@ from vestry.llm.common import written
 #: kind: (guard, pattern, group of the value, least length, most length)
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
+HEX = r"[0-9a-f]{16,}"
 IDENTIFIER = r"""(?i)(user(?:name)?|login|account|client_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9._@-]+)"""
-KEY = r"[A-Za-z0-9+/]+"
+KEY = r"[A-Za-z0-9+/]{20,}"
 ENDPOINT = r"""https?://[^\x20\x09-\x0D"'<>]+"""
 KINDS = ("assign", "access", "hex", "identifier", "key", "endpoint")
 STRONG = KINDS[:3]
