@@ -70,7 +70,7 @@ def bride_name(t: Column) -> Column:
 
 def age(t: Column) -> Column:
     """The number before the word for years, or null."""
-    return F.nullif(F.regexp_extract(F.lower(t), U + r"(\d+)\s+лет", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.lower(t), U + r"(?<!\d)(\d+)\s+лет", 1), F.lit(""))
 
 
 #: Fields of each record type in their order: name, value, confidence if found.

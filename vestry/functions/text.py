@@ -12,7 +12,7 @@ U = "(?U)"
 
 
 def strip(t: Column) -> Column:
-    return F.regexp_replace(t, U + r"^\s+|\s+$", "")
+    return F.regexp_replace(t, U + r"^\s+|(?<!\s)\s+$", "")
 
 
 def once(x: Column) -> Column:
@@ -32,9 +32,10 @@ def tokens(t: Column) -> Column:
 
 def merge_hyphens(t: Column) -> Column:
     """Joins words cut at a line end, and those cut within a line if the first part has over two characters."""
-    t = F.regexp_replace(t, U + r"(\w+)-\s*\n\s*(\w+)", "$1$2")
+    # a match begins at a word's start: said so, a very long word is tried once and not from each of its letters
+    t = F.regexp_replace(t, U + r"(?<!\w)(\w+)-\s*\n\s*(\w+)", "$1$2")
     # the first branch takes in what stays, so that it is passed over whole
-    return F.regexp_replace(t, U + r"(\w{1,2}-\s+\w+)|(\w{3,})-\s+(\w+)", "$1$2$3")
+    return F.regexp_replace(t, U + r"(?<!\w)(?:(\w{1,2}-\s+\w+)|(\w{3,})-\s+(\w+))", "$1$2$3")
 
 
 def expand_abbreviations(t: Column) -> Column:
@@ -48,8 +49,8 @@ def fix_ocr(t: Column) -> Column:
     for wrong, right in fixed.OCR_REPAIRS:
         t = F.regexp_replace(t, wrong, right)
     t = F.translate(t, "".join(fixed.OLD_LETTERS), "".join(fixed.OLD_LETTERS.values()))
-    t = F.regexp_replace(t, U + r"(\w+)ъ\b", "$1")
-    t = F.regexp_replace(t, U + r"\s+\.", ".")
+    t = F.regexp_replace(t, U + r"(?<=\w)ъ\b", "")
+    t = F.regexp_replace(t, U + r"(?<!\s)\s+\.", ".")
     t = F.regexp_replace(t, U + r"\.\s+\.", ".")
     return F.regexp_replace(t, U + r"\s{2,}", " ")
 
@@ -78,7 +79,7 @@ def correct_spelling(t: Column, keep_lead: bool = False) -> Column:
     words = literal_map(spelling_dictionary())
 
     def correct(w):
-        clean = F.regexp_replace(w, f"^[{edges}]+|[{edges}]+$", "")
+        clean = F.regexp_replace(w, f"^[{edges}]+|(?<![{edges}])[{edges}]+$", "")
         found = F.element_at(words, F.lower(clean))
         cased = (
             F.when(found.isNull(), clean)
