@@ -83,3 +83,23 @@ def test_stream_equals_batch(spark, tmp_path):
     pages.run_available(pages.stream_records(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"))
     got = {r["rec_id"]: r["record_type"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert got == {1: "birth", 2: "death", 3: "unknown"}
+
+
+def test_pages_to_records(spark, tmp_path):
+    from vestry import schemas
+    from vestry.plans import pages as plan
+
+    def lines(x, y):
+        return (0, 0, 0) if y in range(60, 64) or y in range(140, 144) or y in range(220, 224) or x in range(100, 104) else (250, 250, 250)
+
+    png(tmp_path / "t.png", 300, 260, lines)
+    imgs = files.images(spark, str(tmp_path))
+    rows, cols = plan.grid(imgs)
+    assert [(r["start"], r["end"]) for r in rows.orderBy("start").collect()] == [(0, 62), (62, 142), (142, 222), (222, 300)]
+    assert [(r["start"], r["end"]) for r in cols.orderBy("start").collect()] == [(0, 102), (102, 260)]
+    kinds = [r["type"] for r in plan.elements(imgs).collect()]
+    assert kinds.count("data_cell") == 8 and kinds.count("header_row") == 1
+    out = plan.pages_to_records(imgs, lambda crop: ("12.III.1878 р. Иван Петров ", 0.9))
+    r = out.withColumn("rec_id", F.lit(1)).first()
+    assert r["record_type"] == "birth" and r["birth_date"]["value"] == "1878-03-12"
+    assert schemas.conform(out.withColumn("rec_id", F.lit(1))).schema.simpleString() == schemas.RECORD.simpleString()

@@ -20,6 +20,35 @@ def register_provider(name: str, ask: Callable[[str], str]) -> None:
     PROVIDERS[name] = ask
 
 
+def _post(url: str, body: dict, headers: dict, timeout: float) -> dict:
+    from urllib.request import Request, urlopen
+
+    request = Request(url, json.dumps(body).encode(), {"Content-Type": "application/json", **headers})
+    with urlopen(request, timeout=timeout) as reply:
+        return json.load(reply)
+
+
+def ollama(model: str = "llama3.1:8b", url: str = "http://localhost:11434", timeout: float = 60) -> Callable[[str], str]:
+    """A provider that speaks to an Ollama server."""
+
+    def answer(text: str) -> str:
+        options = {"temperature": 0.1, "num_predict": 2048}
+        return _post(f"{url}/api/generate", {"model": model, "prompt": text, "stream": False, "options": options}, {}, timeout).get("response", "")
+
+    return answer
+
+
+def openai_compatible(model: str, url: str, key: str = "", timeout: float = 60) -> Callable[[str], str]:
+    """A provider that speaks to any server with the chat completions interface."""
+
+    def answer(text: str) -> str:
+        body = {"model": model, "messages": [{"role": "user", "content": text}], "temperature": 0.1, "max_tokens": 2048}
+        got = _post(f"{url}/v1/chat/completions", body, {"Authorization": f"Bearer {key}"} if key else {}, timeout)
+        return got["choices"][0]["message"]["content"]
+
+    return answer
+
+
 def prompt(t: Column) -> Column:
     """Asks for one JSON object with the fields of the fitting record type."""
     shapes = "\n".join(
