@@ -135,7 +135,7 @@ class TokenFile:
 #: characters below U+0250; letters and numbers of that range are spelled out.
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼½¾"
-_PIECES = re.compile(
+PIECES = re.compile(
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^\s{_LETTER}{_NUMBER}]+|\s+(?!\S)|\s+"
 )
 #: Bytes of Latin-1 that are no controls; a text with other characters below U+0250 is searched, any beyond go to the library.
@@ -144,7 +144,7 @@ _STRANGE = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9f]|[^\x00-ɏ]")
 
 
 def is_plain(text: str) -> bool:
-    """Whether :data:`_PIECES` cuts the text as the library does."""
+    """Whether :data:`PIECES` cuts the text as the library does."""
     try:
         return not text.encode("latin-1").translate(None, _PLAIN)
     except UnicodeEncodeError:
@@ -187,7 +187,7 @@ class ByteLevelEncoder(dict):
     def ids(self, text: str) -> list[int]:
         if not is_plain(text):
             return self.library.encode(text, add_special_tokens=False).ids
-        return [i for p in _PIECES.findall(text) for i in self.piece(p)]
+        return [i for p in PIECES.findall(text) for i in self.piece(p)]
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
@@ -204,7 +204,7 @@ class ByteLevelEncoder(dict):
             self.clear()
         get = self.__getitem__
         return [
-            b"".join(map(get, _PIECES.findall(t))) if is_plain(t) else np.array(self.ids(t), dtype=self.kind).tobytes() for t in texts
+            b"".join(map(get, PIECES.findall(t))) if is_plain(t) else np.array(self.ids(t), dtype=self.kind).tobytes() for t in texts
         ]
 
 
