@@ -50,9 +50,3 @@ def drop_written(df: DataFrame) -> None:
 def crc32_of_id(col):
     """crc32 of the decimal text of an id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
-
-
-def spread(df: DataFrame, *cols) -> DataFrame:
-    """Hash-partitions by ``cols`` into the session's number of shuffle partitions."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols)

@@ -17,7 +17,6 @@ and its members are sent as queries to each of them.
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
