@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vestry.llm import decontam, embeddings, langid, lm, quality, secrets, sentencepieces, sharding, simhash, tokenfiles
+from vestry.llm import decontam, embeddings, langid, lm, oracle, quality, secrets, sentencepieces, sharding, simhash, tokenfiles
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,4 +84,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_embeddings": op10_embeddings,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_secret_scan": oracle.SECRETS, "op3_decontamination": oracle.DECONTAMINATION}
