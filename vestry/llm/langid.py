@@ -143,20 +143,20 @@ class CrossParser:
         alive = np.searchsorted(-full, -np.arange(self.block), side="left")
         roots = np.array(self.roots, np.int32)[:, None]
         state = np.repeat(roots, n, axis=1)
-        count = np.ones((len(roots), n), dtype=np.int32)
+        count = np.zeros((len(roots), n), dtype=np.int32)
         for t in range(int(full[0])):
             k = int(alive[t])
             symbol = columns[t, :k]
-            to = self.table[state[:, :k] + symbol]
+            here = state[:, :k]
+            to = self.table[here + symbol]
+            begins = here == roots  # the first symbol, or the one after a symbol that the sample lacks
             miss = to < 0
             if miss.any():
                 root = np.broadcast_to(roots, miss.shape)[miss]
                 restart = self.table[root + np.broadcast_to(symbol, miss.shape)[miss]]
                 to[miss] = np.where(restart < 0, root, restart)
-                if t:
-                    count[:, :k] += miss
-                miss[miss] = restart < 0  # a symbol that the sample lacks stands alone: what follows is a phrase more
-                count[:, :k] += miss
+                begins |= miss
+            count[:, :k] += begins
             state[:, :k] = to
         by_block = np.empty_like(count)
         by_block[:, order] = count
