@@ -112,12 +112,24 @@ def shard(
         .collect()
     )
     keys, weights = [], []
-    cut = []  # h, pieces
+    cut = [(g["h"], 1 if g["share"] <= 1 / shards else int(np.ceil(g["share"] * shards * 64))) for g in sorted(heavy, key=lambda g: g["h"])]
+    whole = {h for h, pieces in cut if pieces == 1}
+    piece_of = F.pmod(F.xxhash64("uid"), F.col("pieces")).cast("int")
     for g in sorted(heavy, key=lambda g: g["h"]):
-        pieces = 1 if g["share"] <= 1 / shards else int(np.ceil(g["share"] * shards * 64))
-        cut.append((g["h"], pieces))
-        keys += [(g["h"], p) for p in range(pieces)]
-        weights += [[g[c] / pieces for c in "btr"]] * pieces
+        if g["h"] in whole:
+            keys.append((g["h"], 0))
+            weights.append([g[c] for c in "btr"])
+    if len(whole) < len(cut):  # fewer than 3 * shards groups, of at most 64 * shards pieces in each dimension
+        hot = spark.createDataFrame([x for x in cut if x[0] not in whole], "h long, pieces int")
+        parts = (
+            rows.join(F.broadcast(hot), "h")
+            .groupBy("h", piece_of.alias("piece"))
+            .agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("r"))
+            .collect()
+        )
+        for g in sorted(parts):
+            keys.append((g["h"], g["piece"]))
+            weights.append([g[c] for c in "btr"])
     for g in sorted(light, key=lambda g: g["h"]):
         keys.append((g["h"], -1))
         weights.append([g[c] for c in "btr"])
@@ -129,7 +141,7 @@ def shard(
     placed = (
         rows.join(F.broadcast(special), "h", "left")
         .withColumn("item", F.when(F.col("pieces").isNull(), bundle).otherwise(F.col("h")))
-        .withColumn("piece", F.when(F.col("pieces").isNull(), -1).otherwise(F.pmod(F.xxhash64("uid"), F.col("pieces"))).cast("int"))
+        .withColumn("piece", F.when(F.col("pieces").isNull(), -1).otherwise(piece_of))
         .join(F.broadcast(target), ["item", "piece"])
     )
     subs = max(16, min(4096, -(-int(total["r"]) // (shards * 250_000))))
