@@ -22,15 +22,11 @@ def cascade(primary: Column, secondary: Column, fallback: Column, voting: bool =
 
 def page_text(elements: DataFrame, page: str = "page_id", position: str = "position", text: str = "text") -> DataFrame:
     """Texts that aren't blank, joined by line ends in reading order, with a preview of 500 characters."""
-    kept = elements.where(F.regexp_replace(F.col(text), r"(?U)\s", "") != "")
-    lines = F.transform(F.sort_array(F.collect_list(F.struct(position, F.col(text).alias("t")))), lambda x: x["t"])
-    return (
-        elements.select(page)
-        .distinct()
-        .join(kept.groupBy(page).agg(F.array_join(lines, "\n").alias("full_text")), page, "left")
-        .withColumn("full_text", F.coalesce("full_text", F.lit("")))
-        .withColumn("preview", F.substring("full_text", 1, 500))
-    )
+    read = F.regexp_replace(F.col(text), r"(?U)\s", "") != ""
+    # nulls aren't collected, so pages without a text keep their row: one aggregation, no join
+    found = F.sort_array(F.collect_list(F.when(read, F.struct(position, F.col(text).alias("t")))))
+    texts = elements.groupBy(page).agg(F.array_join(F.transform(found, lambda x: x["t"]), "\n").alias("full_text"))
+    return texts.withColumn("preview", F.substring("full_text", 1, 500))
 
 
 ALLOWED = [".jpg", ".jpeg", ".png"]
