@@ -50,3 +50,8 @@ def drop_written(df: DataFrame) -> None:
 def crc32_of_id(col):
     """crc32 of the decimal text of an id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
+
+
+def hash_share(share: float) -> int:
+    """The signed 64-bit number below which about ``share`` of all hashes lie."""
+    return min((1 << 63) - 1, int(-(1 << 63) + min(1.0, share) * (1 << 64)))
