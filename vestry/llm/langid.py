@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vestry.llm.common import crc32_of_id
+from vestry.llm.common import crc32_of_id, hash_share
 
 _POINTS = 0x110000
 
@@ -198,6 +198,10 @@ def samples(
     labelled = docs.where(own & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, 4 * max(1, chars // rows) + 200).alias("text"), F.xxhash64(id_col, F.lit(17)).alias("h")
     )
+    # about twice the rows that are wanted pass by their hash, so what a partition sends doesn't add up with their number
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, hash_share((2 * rows + 200) / n))]) if sizes else None
+    labelled = labelled.where(F.col("h") <= F.element_at(below, F.col("lang"))) if sizes else labelled
     nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
     picked = labelled.withColumn("k", nth).where(F.col("k") <= rows).collect()
     out: dict[str, str] = {}
