@@ -35,7 +35,9 @@ def name_after(t: Column, keyword: str) -> Column:
     at = F.locate(keyword, F.lower(t))
     after = strip(F.substr(t, at + len(keyword)))
     words = tokens(F.regexp_extract(after, U + r"^[А-Яа-яЁё\s\-]+", 0))
-    return F.when((at > 0) & (F.size(words) > 0), F.array_join(F.slice(words, 1, 3), " ")).otherwise(UNKNOWN)
+    # through an array, so that the words are worked out once
+    name = F.filter(F.array(F.array_join(F.slice(words, 1, 3), " ")), lambda n: n != "")
+    return F.coalesce(F.when(at > 0, F.try_element_at(name, F.lit(1))), F.lit(UNKNOWN))
 
 
 def first_known(*names: Column) -> Column:

@@ -47,7 +47,9 @@ def extract_records(df: DataFrame, text_col: str = "corrected_text") -> DataFram
     df = df.withColumn("record_type", once(X.best_type(*scores)))
     for kind, fields in X.FIELDS.items():
         own = F.col("record_type") == kind
-        df = df.withColumns({name: F.when(own, _prediction(F.lit(UNKNOWN) if f is None else f(t), c)) for name, f, c in fields})
+        # each value is worked out once a row, whatever asks for it later
+        df = df.withColumns({f"__{name}": once(F.when(own, F.lit(UNKNOWN) if f is None else f(t))) for name, f, _ in fields})
+        df = df.withColumns({name: F.when(own, _prediction(F.col(f"__{name}"), c)) for name, _, c in fields})
     found = X.age(t)
     df = df.withColumn(
         "age",
@@ -67,6 +69,7 @@ def extract_records(df: DataFrame, text_col: str = "corrected_text") -> DataFram
         .withColumn("language", F.lit("ru"))
         # the rules mark every record for review; the mean only adds to that
         .withColumn("needs_review", (F.col("average_confidence") < REVIEW_BELOW) | F.lit(True))
+        .drop(*[f"__{name}" for name in X.ALL_FIELDS])
     )
 
 
