@@ -1,6 +1,7 @@
 """Each operator against brute force, and on the cases that it has to bear."""
 
 import hashlib
+import inspect
 import math
 import random
 import re
@@ -95,6 +96,16 @@ def test_attention_gradients():
         assert math.isclose((up - down) / (2 * h), g[at], rel_tol=1e-2, abs_tol=1e-3), k
 
 
+def test_lm_model_sizes():
+    model = lm._fitted(BYTE_BPE, [(b"a", 3), (lm.END, 1)], ["a a a"], 1536, 1, 4.0, 0.5)
+    shape = model.shape
+    assert (shape.stride, shape.dim, shape.hidden, shape.head, shape.cluster) == (16, 32, 32, 128, 128)
+    assert inspect.signature(lm.score).parameters["steps"].default == 500
+    # the first unit of a later chunk still sees 17 inputs, its own place's included
+    inputs, begin, _ = attention.windows(np.arange(64, dtype=np.int32), np.array([64]), shape)
+    assert inputs[2][: shape.context + 1].tolist() == list(range(int(begin[2]) - 16, int(begin[2]) + 1))
+
+
 # 2
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
