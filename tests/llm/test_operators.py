@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE, LONG, SAME, by_id, edge
 from vestry.llm import attention, common, decontam, embeddings, graph, langid, lm, quality, queries, secrets, sentencepieces, sharding, simhash, tokenfiles
@@ -106,6 +107,23 @@ def test_lm_model_sizes():
     assert inputs[2][: shape.context + 1].tolist() == list(range(int(begin[2]) - 16, int(begin[2]) + 1))
 
 
+def test_lm_learns_from_whole_texts_of_more_rows(spark):
+    words = [(b"a", 9), (b"b", 9), (lm.END, 1)]
+    trained = []
+    for n, size in ((300, 20), (600, 20), (600, 4000)):  # more rows, then text past any first 6000 characters
+        rows = [(i, "a b " * size) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        model = lm._fitted(BYTE_BPE, words, ["a b"], 1536, 1, 20.0, 0.5)
+        before = {k: v.copy() for k, v in model.parameters.items()}
+        model, units = lm.refine(model, df, "text", F.xxhash64("doc_id", F.lit(23)), n, 0.125, 1)
+        assert any((model.parameters[k] != before[k]).any() for k in before)
+        assert all(np.isfinite(v).all() for v in model.parameters.values())
+        trained.append(units)
+    small, more, longer = trained
+    assert more > 1.5 * small
+    assert longer * 41 == more * 8001  # 2 units a pair and the end: the same rows, whole
+
+
 # 2
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
