@@ -252,6 +252,24 @@ def test_language_accuracy(spark, sf_dir, documents):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r, _ in rows)
 
 
+def test_language_samples_fill_their_budget(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    few = ["HEADER " * 60 + " ".join(word() for _ in range(700)) for _ in range(10)]
+    copies = ["the very same text"] * 400 + [" ".join(word() for _ in range(100)) for _ in range(100)]
+    rows = [(i, t, "few") for i, t in enumerate(few)] + [(100 + i, t, "copies") for i, t in enumerate(copies)]
+    got = langid.samples(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", 5, -1, 32_768)
+    assert {k: len(v) for k, v in got.items()} == {"few": 32_768, "copies": 32_768}
+    assert got["copies"].count("the very same text") <= 1
+
+
+def test_language_small_sample_is_not_outvoted():
+    rng = random.Random(4)
+    text = lambda n, s: "".join(rng.choices(s, k=n))
+    parser = langid.CrossParser({"big": text(30_000, "abcdefgh"), "small": text(100, "abcd")})
+    assert [parser.predict([text(60, "abcd")])[0][0] for _ in range(20)].count("small") >= 15
+
+
 def test_language_edge(spark):
     got = by_id(langid.identify(edge(spark)))
     assert sum(map(len, got.values())) == len(EDGE)

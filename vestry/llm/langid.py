@@ -97,7 +97,7 @@ class CrossParser:
                     table[ord(up)] = code[c]
         table[table == 0] = 1
         self.code = table
-        rows, self.roots = [], []
+        rows, self.roots, self.sizes = [], [], []
         at = 0
         for lang in self.languages:
             automaton = SuffixAutomaton([code[c] for c in samples[lang] if c in code])
@@ -107,6 +107,7 @@ class CrossParser:
                     t[s, c] = (at + q) * self.symbols
             rows.append(t)
             self.roots.append(at * self.symbols)
+            self.sizes.append(len(samples[lang]))
             at += len(t)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
 
@@ -166,7 +167,10 @@ class CrossParser:
         return sizes, counts
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """A longest match in a sample of ``m`` symbols grows as log m, so phrases times log m compare unequal samples."""
         sizes, counts = self.phrases([t or "" for t in texts])
+        logs = np.log2(np.array(self.sizes, dtype=np.float64) + 1)
+        counts = counts * (logs / logs.max()) if len(logs) else counts
         names, scores = [], []
         for text, n, c in zip(texts, sizes.tolist(), counts):
             if not n or not len(c):
@@ -186,29 +190,37 @@ def _parser(samples: tuple) -> CrossParser:
     return CrossParser(dict(samples))
 
 
-def samples(
-    docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_of: int, learn_not: int, rows: int, chars: int
-) -> dict[str, str]:
-    """At most ``chars`` folded characters of at most ``rows`` labelled rows a language.
+def samples(docs: DataFrame, id_col: str, text_col: str, lang_col: str, learn_of: int, learn_not: int, chars: int) -> dict[str, str]:
+    """``chars`` folded characters of labelled texts a language, or all there are.
 
-    This is the one bounded sample of the method: the rows with the smallest
-    hash of their id, equal texts once, an equal share of each.
+    This is the one bounded sample of the method: distinct texts, those with
+    the smallest hash first, each whole, until the language is full.
     """
     own = F.pmod(crc32_of_id(F.col(id_col)), F.lit(learn_of)) != learn_not
     labelled = docs.where(own & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(lang_col).alias("lang"), F.substring(F.col(text_col), 1, 4 * max(1, chars // rows) + 200).alias("text"), F.xxhash64(id_col, F.lit(17)).alias("h")
+        F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col), F.lit(17)).alias("h")
     )
-    # about twice the rows that are wanted pass by their hash, so what a partition sends doesn't add up with their number
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, hash_share((2 * rows + 200) / n))]) if sizes else None
-    labelled = labelled.where(F.col("h") <= F.element_at(below, F.col("lang"))) if sizes else labelled
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
-    picked = labelled.withColumn("k", nth).where(F.col("k") <= rows).collect()
+    # equal texts have one hash, so copies pass or fail together and count once
+    distinct = labelled.groupBy("lang", "h").agg(F.max(F.length("text")).alias("size"))
+    sizes = {r["lang"]: r["size"] for r in distinct.groupBy("lang").agg(F.sum("size").alias("size")).collect()}
     out: dict[str, str] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["k"])):
-        piece = fold(r["text"])[: max(1, chars // rows)]
-        if piece and piece not in out.get(r["lang"], ""):
-            out[r["lang"]] = out.get(r["lang"], "") + piece + " "
+    times = 4
+    while sizes:  # more texts pass by their hash for the languages that aren't full
+        below = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, hash_share(times * chars / max(1, n)))])
+        some = labelled.where(F.col("h") <= F.element_at(below, F.col("lang"))).groupBy("lang", "h").agg(F.max("text").alias("text"))
+        before = F.coalesce(F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        # what stands after ``times`` the budget of raw characters is asked for only if folding leaves too little
+        picked = some.withColumn("before", before).where(F.col("before") < times * chars).select("lang", "h", F.substring("text", 1, times * chars).alias("text")).collect()
+        full = {}
+        for r in sorted(picked, key=lambda r: (r["lang"], r["h"])):
+            if len(full.get(r["lang"], "")) < chars and (piece := fold(r["text"])):
+                full[r["lang"]] = (full.get(r["lang"], "") + piece + " ")[:chars]
+        for lang, n in list(sizes.items()):
+            if len(full.get(lang, "")) >= chars or times * chars >= n:
+                if lang in full:
+                    out[lang] = full[lang]
+                del sizes[lang]
+        times *= 8
     return out
 
 
@@ -219,14 +231,13 @@ def identify(
     lang_col: str = "lang",
     held_out_of: int = 5,
     held_out: int = 0,
-    sample_rows: int = 128,
     sample_chars: int = 32_768,
 ) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row of ``docs``.
 
     Learns from labelled rows whose id's crc32 modulo ``held_out_of`` is not
-    ``held_out``.  ``score`` is the share of the second-best language's phrases
-    in those of the best two: 0.5 for a draw, towards 1 for a clear case.
+    ``held_out``.  ``score`` is the share of the second-best language's phrases,
+    weighted by the log of its sample's size, in those of the best two: 0.5 for a draw, towards 1 for a clear case.
 
     * null text, or one without a letter: ``und``, score 0;
     * ties go to the language that sorts first;
@@ -234,7 +245,7 @@ def identify(
     * null ids and repeated rows: a row each; empty table: no rows; other
       columns are ignored.
     """
-    learned = samples(docs, id_col, text_col, lang_col, held_out_of, held_out, sample_rows, sample_chars)
+    learned = samples(docs, id_col, text_col, lang_col, held_out_of, held_out, sample_chars)
     shipped = docs.sparkSession.sparkContext.broadcast(learned)
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = df.schema["doc_id"].dataType.simpleString()
