@@ -270,6 +270,21 @@ def test_language_small_sample_is_not_outvoted():
     assert [parser.predict([text(60, "abcd")])[0][0] for _ in range(20)].count("small") >= 15
 
 
+def test_language_keeps_every_letter():
+    rng = random.Random(6)
+    letters = {lang: [chr(0x4E00 + 300 * k + i) for i in range(300)] for k, lang in enumerate(("one", "three", "two"))}
+    text = lambda lang, n: "".join(rng.choices(letters[lang], k=n))
+    letters["one"] = letters["one"][:120]
+    samples = {lang: text(lang, 20_000 if lang == "one" else 4000) for lang in letters}
+    parser = langid.CrossParser(samples)
+    texts = {lang: [samples[lang][500:540] + text(lang, 60) for _ in range(10)] for lang in letters}
+    for lang, new in texts.items():
+        assert parser.predict(new)[0] == [lang] * 10
+    dense = langid.CrossParser(samples, size=2000)
+    for new in texts.values():
+        assert (parser.phrases(new)[1] == dense.phrases(new)[1]).all()
+
+
 def test_language_edge(spark):
     got = by_id(langid.identify(edge(spark)))
     assert sum(map(len, got.values())) == len(EDGE)

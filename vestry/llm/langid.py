@@ -67,9 +67,10 @@ class SuffixAutomaton:
 class CrossParser:
     """Counts the phrases of texts against each language's sample.
 
-    ``samples`` maps a language to a folded text.  The alphabet is the ``size``
-    most frequent letters of all samples and the space; any other letter is a
-    symbol that no sample holds.  Texts are parsed in blocks of ``block``
+    ``samples`` maps a language to a folded text.  The alphabet is the letters of
+    all samples and the space; any other letter is a symbol that no sample
+    holds.  Steps by the ``size`` most frequent letters stand in a dense table,
+    those by all others in a sorted list of edges.  Texts are parsed in blocks of ``block``
     symbols, each from the start of a phrase, so that long texts keep no task
     waiting.
     """
@@ -78,10 +79,11 @@ class CrossParser:
         self.languages = sorted(samples)
         self.block = block
         seen = Counter(c for t in samples.values() for c in t if c != " ")
-        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:size]]
-        self.symbols = len(letters) + 3  # 0: beyond the text, 1: space, 2: a letter no sample holds
+        letters = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))]
+        self.alphabet = len(letters) + 3
+        self.symbols = min(size, len(letters)) + 3  # those of the dense table; 0: beyond the text, 1: space, 2: a letter no sample holds
         code = {c: k for k, c in enumerate(letters, 3)} | {" ": 1}
-        table = np.zeros(_POINTS, np.uint8)
+        table = np.zeros(_POINTS, np.int32)
         for start in range(0, _POINTS, 4096):
             if 0xD800 <= start < 0xE000:
                 continue
@@ -98,18 +100,37 @@ class CrossParser:
         table[table == 0] = 1
         self.code = table
         rows, self.roots, self.sizes = [], [], []
+        edges = []
         at = 0
         for lang in self.languages:
             automaton = SuffixAutomaton([code[c] for c in samples[lang] if c in code])
             t = np.full((len(automaton.next), self.symbols), -1, np.int32)
             for s, following in enumerate(automaton.next):
                 for c, q in following.items():
-                    t[s, c] = (at + q) * self.symbols
+                    if c < self.symbols:
+                        t[s, c] = (at + q) * self.symbols
+                    else:
+                        edges.append(((at + s) * self.symbols * self.alphabet + c, (at + q) * self.symbols))
             rows.append(t)
             self.roots.append(at * self.symbols)
             self.sizes.append(len(samples[lang]))
             at += len(t)
         self.table = np.concatenate(rows).ravel() if rows else np.zeros(0, np.int32)
+        edges.sort()
+        self.edge = np.array([e for e, _ in edges], dtype=np.int64)
+        self.edge_to = np.array([q for _, q in edges], dtype=np.int32)
+
+    def _go(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Where states go on a symbol each, -1 where nowhere; a symbol counts for a whole column of states."""
+        wide = np.flatnonzero(symbol >= self.symbols)
+        if not len(wide):
+            return self.table[state + symbol]
+        to = self.table[state + np.where(symbol >= self.symbols, 2, symbol)]
+        if len(self.edge):
+            key = state[..., wide].astype(np.int64) * self.alphabet + symbol[wide]
+            k = np.minimum(np.searchsorted(self.edge, key), len(self.edge) - 1)
+            to[..., wide] = np.where(self.edge[k] == key, self.edge_to[k], -1)
+        return to
 
     def encode(self, text: str) -> np.ndarray:
         points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -131,7 +152,7 @@ class CrossParser:
         counts = np.zeros((len(texts), len(self.languages)), dtype=np.int64)
         if not n or not self.languages:
             return sizes, counts
-        cells = np.zeros(n * self.block, np.uint8)
+        cells = np.zeros(n * self.block, np.int32)
         first = np.concatenate([[0], np.cumsum(blocks)])
         for c, b in zip(coded, first):
             cells[b * self.block : b * self.block + len(c)] = c
@@ -139,7 +160,7 @@ class CrossParser:
         full = np.full(n, self.block)
         full[(first[1:] - 1)[blocks > 0]] = (sizes - (blocks - 1) * self.block)[blocks > 0]
         order = np.argsort(-full, kind="stable")  # so that blocks that end drop off the back
-        columns = np.ascontiguousarray(cells[order].T).astype(np.int32)
+        columns = np.ascontiguousarray(cells[order].T)
         full = full[order]
         alive = np.searchsorted(-full, -np.arange(self.block), side="left")
         roots = np.array(self.roots, np.int32)[:, None]
@@ -149,12 +170,12 @@ class CrossParser:
             k = int(alive[t])
             symbol = columns[t, :k]
             here = state[:, :k]
-            to = self.table[here + symbol]
+            to = self._go(here, symbol)
             begins = here == roots  # the first symbol, or the one after a symbol that the sample lacks
             miss = to < 0
             if miss.any():
                 root = np.broadcast_to(roots, miss.shape)[miss]
-                restart = self.table[root + np.broadcast_to(symbol, miss.shape)[miss]]
+                restart = self._go(root, np.broadcast_to(symbol, miss.shape)[miss])
                 to[miss] = np.where(restart < 0, root, restart)
                 begins |= miss
             count[:, :k] += begins
