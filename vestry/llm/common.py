@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +15,16 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` is read from the session.  Only where a session
-    has none, as in tests on one machine, a local default is set.
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a
+    session on one machine (master ``local``) gets a temporary folder of its
+    own; on a cluster, whose machines don't share such a folder, that is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "/tmp/checkpoints/vestry"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="vestry-shared-")
+        atexit.register(shutil.rmtree, path, True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -34,17 +42,38 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = new_table(spark, kind)
     df.write.parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Folders of this process's written tables that nobody has dropped yet.
+_made: list[str] = []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Deletes the files behind a table made by :func:`written`."""
-    spark = df.sparkSession
-    jvm = spark._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if folder.getName().startswith("vestry-"):
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder = file.rsplit("/", 1)[0]
+        if folder.rsplit("/", 1)[-1].startswith("vestry-"):
+            _delete(df.sparkSession, folder)
+            _made[:] = [p for p in _made if p.rsplit("/", 1)[-1] != folder.rsplit("/", 1)[-1]]
+
+
+def settle(make, kind: str) -> DataFrame:
+    """The table that ``make()`` returns, written; the tables written on the way to it are deleted."""
+    before = len(_made)
+    df = make()
+    spark, path = df.sparkSession, new_table(df.sparkSession, kind)
+    df.write.parquet(path)
+    for folder in _made[before:]:
+        _delete(spark, folder)
+    _made[before:] = [path]
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc32_of_id(col):

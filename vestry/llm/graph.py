@@ -8,9 +8,27 @@ from pyspark.sql import functions as F
 from vestry.llm.common import drop_written, written
 
 
+#: Nodes with more than one in so many edges are hubs; there are at most twice as many.
+HUBS = 4096
+
+
 def _fingerprint(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % F.lit(1 << 31)), F.sum("v")).first()
-    return tuple(row)
+    """Number of edges and a sum that tells their sets apart; hashes are cut short, so ids of any size can't overflow it."""
+    part = [F.pmod(F.xxhash64("u", "v", F.lit(k)), F.lit(1 << 31)).cast("decimal(20,0)") for k in (0, 1)]
+    return tuple(edges.agg(F.count("*"), F.sum(part[0]), F.sum(part[1])).first())
+
+
+def _with_least(edges: DataFrame, key: str, other: str, total: int, least) -> DataFrame:
+    """``edges`` with ``m``, the ``least`` of each ``key``.
+
+    Minima are made with partial aggregation.  A hub's edges don't travel to
+    its minimum: hubs, at most ``2 * HUBS`` by their definition, are broadcast.
+    """
+    low = edges.groupBy(key).agg(least.alias("m"), F.count("*").alias("d"))
+    hub = F.col("d") > max(64, total / HUBS)
+    hubs = F.broadcast(low.where(hub).select(key, "m"))
+    rest = edges.join(hubs.select(key), key, "left_anti").join(low.where(~hub).select(key, "m"), key)
+    return edges.join(hubs, key).select(key, other, "m").unionByName(rest.select(key, other, "m"))
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -22,9 +40,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
 
     A step keeps connectivity and only re-hangs edges on smaller neighbours;
     after O(log^2 n) steps each component is a star around its smallest node.
-    Minima are taken with partial aggregation.  A hub's edges meet the minima in
-    a sort-merge join, which adaptive execution may split.  Every step is
-    written to the shared folder.
+    Hubs' edges stay where they are (:func:`_with_least`).  Every step is
+    written to the shared folder, and the step before it deleted.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     e = written(
@@ -37,12 +54,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     state = _fingerprint(e)
     while state[0]:
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
-        low = both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m"))
-        large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = _with_least(both, "x", "y", 2 * state[0], F.least(F.min("y"), F.col("x"))).where("y > x")
+        large = large.select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
         small = (
-            large.join(low, "u")
+            _with_least(large, "u", "v", state[0], F.min("v"))
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), "m"), F.struct("u", "m"))).alias("p"))
             .select("p.u", F.col("p.m").alias("v"))
             .where("u > v")

@@ -39,7 +39,7 @@ _PATTERNS = [
     ("hex", r"[0-9a-f]+", 0, "length(v) >= 16"),
     ("identifier", secrets.IDENTIFIER, 2, "length(v) >= 3"),
     ("short", secrets.ASSIGN, 2, "length(v) between 6 and 11"),
-    ("key", r"[A-Za-z0-9+/]+", 0, "length(v) between 20 and 200 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')"),
+    ("key", r"[A-Za-z0-9+/]+", 0, "length(v) >= 20 and regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]')"),
     ("endpoint", secrets.ENDPOINT, 0, "true"),
 ]
 _ALL = " union all ".join(

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from vestry.llm.common import written
 
 #: Kinds in their order, with their patterns (Java and RE2 read them alike).
-#: kind: (guard, pattern, group of the value, least length, most length)
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{16,}"
@@ -52,11 +51,11 @@ def _hits(text, kind: str, guard, pattern: str, ok, group: int = 0):
 def _scan(text):
     """All matches of all kinds in one array."""
 
-    def long(least, most=1 << 30):
-        return lambda v: F.length(v).between(least, most)
+    def long(least, most=None):
+        return lambda v: F.length(v) >= least if most is None else F.length(v).between(least, most)
 
     random_looking = lambda v: (
-        F.length(v).between(20, 200) & v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+        (F.length(v) >= 20) & v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
     )
     has_assign = text.rlike("(?i)(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]")
     return F.concat(
@@ -70,53 +69,27 @@ def _scan(text):
     )
 
 
-def _near(a: DataFrame, b: DataFrame, scope: int) -> DataFrame:
-    """Rows of ``a`` with a row of ``b`` at most ``scope`` code points away: an interval join by bins.
+def _near(a: DataFrame, b: DataFrame, scope: int, width: int = SCOPE) -> DataFrame:
+    """Rows of ``a`` with a row of ``b`` at most ``scope`` code points away, -1 for an overlap: an interval join by bins.
 
     The parts of a kind don't overlap, so a bin holds a bounded number of them.
     """
-    width = scope
+    wide = max(0, scope)
     bins_a = F.sequence(F.expr(f"start div {width}"), F.expr(f"end div {width}"))
-    bins_b = F.sequence(F.expr(f"greatest(0, start - {scope}) div {width}"), F.expr(f"(end + {scope}) div {width}"))
+    bins_b = F.sequence(F.expr(f"greatest(0, start - {wide}) div {width}"), F.expr(f"(end + {wide}) div {width}"))
     left = a.withColumn("bin", F.explode(bins_a)).alias("a")
-    right = b.select("uid", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(bins_b).alias("bin"))
-    return (
-        left.join(right, ["uid", "bin"], "left_semi")
-        if scope == 0
-        else left.join(
-            right.alias("b"),
-            (F.col("a.uid") == F.col("b.uid"))
-            & (F.col("a.bin") == F.col("b.bin"))
-            & (F.col("a.start") <= F.col("b_end") + scope)
-            & (F.col("b_start") <= F.col("a.end") + scope),
-            "left_semi",
-        )
-    ).drop("bin").distinct()
+    right = b.select("uid", F.col("start").alias("b_start"), F.col("end").alias("b_end"), F.explode(bins_b).alias("bin")).alias("b")
+    near = (F.col("a.start") <= F.col("b_end") + scope) & (F.col("b_start") <= F.col("a.end") + scope)
+    return left.join(right, (F.col("a.uid") == F.col("b.uid")) & (F.col("a.bin") == F.col("b.bin")) & near, "left_semi").drop("bin").distinct()
 
 
-def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, text_hash, found``.
+def _scanned(text):
+    """The array of all matches of a text column."""
+    return F.filter(_scan(F.coalesce(text, F.lit(""))), lambda m: m["kind"].isNotNull())
 
-    ``found`` is an array of ``start, order, kind, end`` (code points, end
-    exclusive) sorted by start and kind; ``text_hash`` is the xxhash64 of the
-    text.  An identifier is reported near a secret, a key or short assigned
-    value near an identifier or endpoint, an endpoint near both an identifier
-    and a secret.  A weak span that overlaps a strong one is dropped.
 
-    * null or empty text: nothing found;
-    * repeated rows and ids, null ids: a row each, kept apart by a row number;
-    * empty table: no rows; other columns are ignored.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    scan = written(
-        docs.select(
-            F.monotonically_increasing_id().alias("uid"),
-            F.col(id_col).alias("doc_id"),
-            F.xxhash64(F.col(text_col)).alias("text_hash"),
-            F.filter(_scan(text), lambda m: m["kind"].isNotNull()).alias("hits"),
-        ),
-        "scan",
-    )
+def _spans(scan: DataFrame, scope: int) -> DataFrame:
+    """``uid, start, end, kind`` of all reported spans, from rows ``uid, hits``."""
     placed = Window.partitionBy("uid", "kind").orderBy("n")
     parts = (
         scan.where("size(hits) > 0")
@@ -134,12 +107,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = written(parts, "parts")
     strong = parts.where(F.col("kind").isin(*STRONG))
     weak = parts.where(~F.col("kind").isin(*STRONG))
-    over = weak.alias("w").join(
-        strong.select("uid", F.col("start").alias("s"), F.col("end").alias("e")).alias("t"),
-        (F.col("w.uid") == F.col("t.uid")) & (F.col("start") < F.col("e")) & (F.col("s") < F.col("end")),
-        "left_anti",
-    )
-    weak = written(over, "weak")
+    weak = written(weak.join(_near(weak, strong, -1), ["uid", "kind", "start", "end"], "left_anti"), "weak")
     everything = strong.unionByName(weak)
     ids = everything.where(F.col("kind").isin("access", "identifier"))
     keys = everything.where(F.col("kind").isin("assign", "hex", "key"))
@@ -149,9 +117,37 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .unionByName(_near(weak.where("kind = 'key'"), ids.unionByName(ends), scope))
         .unionByName(_near(_near(ends, ids, scope), keys, scope))
     )
+    return strong.unionByName(linked).select("uid", "start", "end", "kind")
+
+
+def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, text_hash, found``.
+
+    ``found`` is an array of ``start, order, kind, end`` (code points, end
+    exclusive) sorted by start, kind and end; ``text_hash`` is the xxhash64 of the
+    text.  An identifier is reported near a secret, a key or short assigned
+    value near an identifier or endpoint, an endpoint near both an identifier
+    and a secret.  A weak span that overlaps a strong one is dropped.
+
+    * null or empty text: nothing found;
+    * very long texts and values: searched whole, values of any length; the spans
+      of a text are joined bin by bin, in as many tasks as there are bins;
+    * ties: spans with one start come in the order of ``KINDS``, each reported once;
+    * repeated rows and ids, null ids: a row each, kept apart by a row number;
+    * empty table: no rows; other columns are ignored, whatever their names.
+    """
+    scan = written(
+        docs.select(
+            F.monotonically_increasing_id().alias("uid"),
+            F.col(id_col).alias("doc_id"),
+            F.xxhash64(F.col(text_col)).alias("text_hash"),
+            _scanned(F.col(text_col)).alias("hits"),
+        ),
+        "scan",
+    )
     order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     found = (
-        strong.unionByName(linked)
+        _spans(scan.select("uid", "hits"), scope)
         .groupBy("uid")
         .agg(F.sort_array(F.collect_list(F.struct("start", order.alias("order"), "kind", "end"))).alias("found"))
     )
@@ -181,25 +177,61 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
+#: Code points of the pieces that a text is cut into before masking.
+_PIECE = 4096
+
+
+def _masked(pieces, islands, mask: str):
+    """A text, given in pieces, with ``mask`` in place of each of its ``islands`` (sorted, apart from each other).
+
+    Only the pieces at the ends of what is kept are cut, so the work grows with
+    the text and the number of islands, not with their product.
+    """
+
+    def part(a, b):
+        i, j = F.floor(a / _PIECE).cast("int"), F.floor((b - 1) / _PIECE).cast("int")
+        first, last = F.get(pieces, i), F.get(pieces, j)
+        within = F.substr(first, a - i * _PIECE + 1, b - a)
+        across = F.concat(
+            F.substr(first, a - i * _PIECE + 1), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substr(last, F.lit(1), b - j * _PIECE)
+        )
+        return F.when(b <= a, "").when(i == j, within).otherwise(across)
+
+    before = lambda k: F.when(k > 0, F.get(islands, k - 1)["end"]).otherwise(F.lit(0))
+    kept = F.transform(islands, lambda s, k: part(before(k), s["start"]))
+    length = F.aggregate(pieces, F.lit(0), lambda n, p: n + F.length(p))
+    return F.concat(F.array_join(F.transform(kept, lambda p: F.concat(p, F.lit(mask))), ""), part(F.element_at(islands, -1)["end"], length))
+
+
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]", scope: int = SCOPE) -> DataFrame:
-    """``docs`` with every reported span replaced by ``mask``; overlapping spans become one mask.
+    """``docs`` with every reported span replaced by ``mask``; spans that overlap or touch become one mask.
 
-    Rows meet their spans by id and text, so repeated rows get the same text.
-    Texts without a find, null texts and all other columns stay as they are.
+    The rows are written once with what the scan of their text hit.  Only rows
+    with a hit meet their spans in a shuffle; all others go straight on.
+
+    * null and empty texts, and texts without a find, stay as they are, as do
+      null ids and all other columns, whatever their names;
+    * repeated rows: a row each, masked alike;
+    * very long texts: masked whole, in pieces, with any number of spans;
+    * empty table: no rows.
     """
-    f = find_secrets(docs, id_col, text_col, scope).where("size(found) > 0")
-    f = f.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("found").alias("__found")).distinct()
-    text = F.col(text_col)
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(acc, s):
-        fresh = F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], F.lit(mask)).otherwise(F.lit("")))
-        return F.struct(fresh.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    masked = F.aggregate("__found", start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))
-    joined = docs.withColumn("__h", F.xxhash64(text)).join(
-        f, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__hash")), "left"
-    )
-    return joined.select(
-        *[(F.when(F.col("__found").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(c)) for c in docs.columns]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    scan = written(docs.select(F.monotonically_increasing_id().alias("uid"), row.alias("row"), _scanned(F.col(f"`{text_col}`")).alias("hits")), "scan")
+    by_start = Window.partitionBy("uid").orderBy("start", "end")
+    reach = F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    islands = (
+        _spans(scan.select("uid", "hits"), scope)
+        .withColumn("begins", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+        .withColumn("island", F.sum("begins").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("uid", "island")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        .groupBy("uid")
+        .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("islands"))
     )
+    text = F.col("row")[text_col]
+    hit = scan.where("size(hits) > 0").select("uid", "row").join(islands, "uid", "left")
+    pieces = F.when(F.col("islands").isNotNull(), F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0)))
+    hit = hit.withColumn("pieces", pieces)
+    masked = F.when(F.col("islands").isNull(), text).otherwise(_masked(F.col("pieces"), F.col("islands"), mask))
+    changed = hit.select(*[(masked if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns])
+    return scan.where("size(hits) = 0").select(*[F.col("row")[c].alias(c) for c in docs.columns]).unionByName(changed)
