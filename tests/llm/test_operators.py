@@ -434,7 +434,9 @@ def test_elias_fano():
     for n, top in ((0, 1), (1, 0), (1, 10**9), (5, 3), (1000, 10**6), (3000, 40)):
         v = np.sort(np.random.default_rng(n).integers(0, top + 1, n))
         ef = tokenfiles.EliasFano.of(v)
-        assert (ef.values() == v).all() and [ef[i] for i in range(n)] == v.tolist()
+        assert [ef[i] for i in range(n)] == v.tolist()
+        for i, count in ((0, n), (n // 3, 7), (max(0, n - 5), 100), (n // 2, 256), (257, 300)):
+            assert ef.run(i, count).tolist() == v[i : i + count].tolist()
 
 
 def test_token_file_round_trip():
@@ -447,24 +449,41 @@ def test_token_file_round_trip():
 
 
 def test_token_files(spark, sf_dir, documents):
-    enc = tokenfiles.ByteLevelEncoder(BYTE_BPE)
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(BYTE_BPE)
     got = by_id(queries.op6_token_files(spark, sf_dir))
     at = 0
     for i, t in sorted(zip(documents.doc_id, documents.text)):
-        ids = [*enc.library.encode(t or "", add_special_tokens=False).ids, 2]
+        ids = [*library.encode(t or "", add_special_tokens=False).ids, 2]
         r = got[i][0]
         assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
 
 
 def test_encoder_equals_library():
+    from tokenizers import Tokenizer
+
     enc, rng = tokenfiles.ByteLevelEncoder(BYTE_BPE, memo=50), random.Random(6)
-    letters = "  \n\t ab'stlEÉß²3.,-|%\xa0\x85ªIvŁʰ漢😀\x1c<|endoftext|>"
+    letters = [*"  \n\t ab'stlEÉß²3.,-|%\xa0\x85ªIvŁʰ漢😀\x1c<|endoftext|>", "<|endoftext|>"]
     texts = ["".join(rng.choices(letters, k=rng.randint(0, 25))) for _ in range(3000)]
-    want = [np.array(e.ids, "<u2").tobytes() for e in enc.library.encode_batch(texts, add_special_tokens=False)]
+    library = Tokenizer.from_file(BYTE_BPE)
+    assert library.encode("a<|endoftext|>b", add_special_tokens=False).ids[1] == 50256
+    want = [np.array(e.ids, "<u2").tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
     assert [b for k in range(0, 3000, 100) for b in enc.encode(texts[k : k + 100])] == want
 
 
+def test_encoder_of_another_kind_uses_the_library():
+    from tokenizers import Tokenizer
+
+    file = queries.tokenizer_file("word_bpe_49k.json")
+    enc, library = tokenfiles.ByteLevelEncoder(file), Tokenizer.from_file(file)
+    texts = ["Some Words, and more", "", "x <|endoftext|> y"]
+    assert enc.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+    with pytest.raises(ValueError):
+        lm.Units(file, [])
+
+
 def test_token_files_edge(spark):
     rows = tokenfiles.tokenize(edge(spark), BYTE_BPE, 2, file_ids=16).collect()
     assert len(rows) == len(EDGE)

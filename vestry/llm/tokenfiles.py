@@ -13,6 +13,7 @@ folder, so that any store that Spark reads and writes will do.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -81,6 +82,22 @@ class EliasFano:
             first &= first - 1
         return 8 * byte + (first & -first).bit_length() - 1
 
+    def run(self, i: int, count: int) -> np.ndarray:
+        """Numbers ``i`` to ``i + count - 1``: a select for the first, then the ones that follow it in the high part."""
+        count = min(count, self.n - i)
+        if count <= 0:
+            return np.zeros(0, np.int64)
+        at, last = self.select(i), self.select(i + count - 1)
+        bits = np.unpackbits(self.high[at >> 3 : (last >> 3) + 1], bitorder="little")
+        ones = np.flatnonzero(bits[at & 7 :])[:count] + at
+        value = ones - np.arange(i, i + count) << self.low_bits
+        if self.low_bits:
+            lo = i * self.low_bits
+            hi = lo + count * self.low_bits
+            low = np.unpackbits(self.low[lo >> 3 : (hi + 7) >> 3], bitorder="little")[lo & 7 :][: hi - lo]
+            value += low.reshape(count, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return value
+
     def __getitem__(self, i: int) -> int:
         value = self.select(i) - i << self.low_bits
         for k in range(self.low_bits):
@@ -88,14 +105,6 @@ class EliasFano:
             value |= int(self.low[bit >> 3] >> (bit & 7) & 1) << k
         return value
 
-    def values(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n].astype(np.uint64)
-        high = ones - np.arange(self.n, dtype=np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high + bits.astype(np.uint64) @ (np.uint64(1) << np.arange(self.low_bits, dtype=np.uint64))
-
 
 def pack(documents: list[bytes], width: int = 2) -> bytes:
     """A file from the documents' ids, each little-endian of ``width`` bytes."""
@@ -130,6 +139,14 @@ class TokenFile:
         lo, hi = self.bounds(i)
         return self.all_ids[lo:hi]
 
+    def runs(self, count: int = _SAMPLE):
+        """Starts and ends of all documents, ``count`` of them at a time, by way of select."""
+        before = 0
+        for i in range(0, self.n, count):
+            ends = self.ends.run(i, count)
+            yield np.concatenate([[before], ends[:-1]]), ends
+            before = int(ends[-1])
+
 
 #: The pieces a byte-level vocabulary of this kind cuts a text into before merging, for
 #: characters below U+0250; letters and numbers of that range are spelled out.
@@ -151,6 +168,17 @@ def is_plain(text: str) -> bool:
         return not _STRANGE.search(text)
 
 
+def byte_level(file: dict) -> bool:
+    """Whether a tokenizer's file says what :data:`PIECES` is written for."""
+    cut, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    plain = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True)
+    merges = model.get("type", "BPE") == "BPE" and not any(
+        model.get(k) for k in ("dropout", "byte_fallback", "ignore_merges", "continuing_subword_prefix", "end_of_word_suffix")
+    )
+    added = all(not any(t.get(k) for k in ("lstrip", "rstrip", "single_word")) for t in file.get("added_tokens") or [])
+    return plain and merges and added and file.get("normalizer") is None
+
+
 def byte_symbols() -> list[str]:
     """How a byte-level vocabulary writes bytes: printable ones as themselves, the rest from U+0100 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -163,8 +191,11 @@ class ByteLevelEncoder(dict):
 
     A text is cut into the pieces that merges don't cross; the library's model
     encodes each new piece.  Texts that the cut isn't certain for go to the
-    library whole.  The memory has two generations, so that frequent pieces
-    stay when it is full.
+    library whole: those with unusual characters, those that hold a special
+    token's string (which the library makes that token), and every text if the
+    file's normalizer, pre-tokenizer or model aren't those that the cut is
+    written for (``cuts`` is then false).  The memory has two generations, so
+    that frequent pieces stay when it is full.
     """
 
     def __init__(self, file: str, memo: int = 200_000):
@@ -173,8 +204,11 @@ class ByteLevelEncoder(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(file)
-        self.library.encode_special_tokens = True
         self.model = self.library.model
+        with open(file, encoding="utf-8") as f:
+            self.cuts = byte_level(json.load(f))
+        special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.symbols = byte_symbols()
@@ -184,8 +218,11 @@ class ByteLevelEncoder(dict):
         symbols = self.symbols
         return [t.id for t in self.model.tokenize("".join([symbols[b] for b in text.encode()]))]
 
+    def sure(self, text: str) -> bool:
+        return self.cuts and is_plain(text) and not self.special.search(text)
+
     def ids(self, text: str) -> list[int]:
-        if not is_plain(text):
+        if not self.sure(text):
             return self.library.encode(text, add_special_tokens=False).ids
         return [i for p in PIECES.findall(text) for i in self.piece(p)]
 
@@ -204,7 +241,7 @@ class ByteLevelEncoder(dict):
             self.clear()
         get = self.__getitem__
         return [
-            b"".join(map(get, PIECES.findall(t))) if is_plain(t) else np.array(self.ids(t), dtype=self.kind).tobytes() for t in texts
+            b"".join(map(get, PIECES.findall(t))) if self.sure(t) else np.array(self.ids(t), dtype=self.kind).tobytes() for t in texts
         ]
 
 
@@ -279,15 +316,17 @@ def read_boundaries(spark, path: str) -> DataFrame:
             for k in range(whole.num_rows):
                 batch = whole.slice(k, 1)
                 f = TokenFile(batch.column("payload")[0].as_py())
-                ends = f.ends.values().astype(np.int64)
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                wide = f.all_ids.astype("<u4")
-                crc = [zlib.crc32(wide[a:b]) for a, b in zip(starts.tolist(), ends.tolist())]
                 base = shipped.value[batch.column("part")[0].as_py()] + batch.column("before")[0].as_py()
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_ids").flatten(), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+                doc_ids, at = batch.column("doc_ids").flatten(), 0
+                for starts, ends in f.runs(16 * _SAMPLE):
+                    lo = int(starts[0])
+                    wide = f.all_ids[lo : int(ends[-1])].astype("<u4")
+                    crc = [zlib.crc32(wide[a:b]) for a, b in zip((starts - lo).tolist(), (ends - lo).tolist())]
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids.slice(at, len(ends)), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
+                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                    )
+                    at += len(ends)
 
     return files.select("part", "before", "doc_ids", "payload").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -297,8 +336,12 @@ def read_boundaries(spark, path: str) -> DataFrame:
 def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int, **parameters) -> DataFrame:
     """Writes the files and reads their boundaries and ids back.
 
-    * null or empty text: only the end id;
-    * null ids come first; rows of one id are ordered by a hash of their text,
+    Ids are the library's for the text, ``add_special_tokens=False``: a special
+    token's string in a text becomes that token.
+
+    * null or empty text: only the end id; very long texts: encoded whole, in a
+      file of their own if they have over ``file_ids`` ids;
+    * null ids come first; ties: rows of one id are ordered by a hash of their text,
       rows that repeat both in any order (their ids are the same);
     * empty table: no files' rows, no rows; other columns are ignored.
     """
