@@ -219,7 +219,7 @@ def test_decontamination(spark, documents):
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 wins.setdefault(tuple(w[i : i + window]), set()).add(k)
         df = decontam.decontaminate(
-            spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=window, chunk_bytes=600 if window == 4 else 1 << 20
+            spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), window=window, **({"piece_bytes": 600, "segment_words": 9} if window == 4 else {})
         )
         got = by_id(df)
         for i, t in enumerate(docs):
@@ -234,6 +234,35 @@ def test_decontamination(spark, documents):
             assert r["items_sha256"] == sha(",".join(sorted(map(str, found)))) and r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(w))
 
 
+def test_decontamination_of_many_pieces(spark, monkeypatch):
+    """A benchmark of 50 pieces goes through the driver piece by piece, long items in overlapping segments."""
+    rng = random.Random(8)
+    text = lambda n: " ".join(f"w{rng.randint(0, 5000)}" for _ in range(n))
+    items = [(k, text(60)) for k in range(400)] + [(1000, text(3000))]
+    passages = {1: (7, 20), 2: (350, 13), 3: (1000, 2900)}
+    docs = [(i, "x y z " * 5 + " ".join(dict(items)[k].split()[-n:])) for i, (k, n) in passages.items()] + [(4, text(200))]
+    size = sum(len(t) + 20 for _, t in items)
+    shipped = []
+    real = decontam._ship
+    monkeypatch.setattr(decontam, "_ship", lambda piece: shipped.append(sum(len(r["line"]) for r in piece.collect())) or real(piece))
+    args = [spark.createDataFrame(x, f"{n} long, text string") for x, n in ((docs, "doc_id"), (items, "item_id"))]
+    many = by_id(decontam.decontaminate(*args, piece_bytes=size // 50, segment_words=64))
+    one = by_id(decontam.decontaminate(*args))
+    assert many == one and {i: r[0]["item_ids"] for i, r in one.items()} == {1: ["7"], 2: ["350"], 3: ["1000"], 4: []}
+    assert len(shipped) > 50 and max(shipped[:-1]) < 4 * size // 50
+
+
+def test_decontamination_index_is_compact():
+    rng = random.Random(9)
+    segments = [(str(k).encode(), b" ".join(b"w%d" % rng.randint(0, 20_000) for _ in range(200))) for k in range(1000)]
+    index = decontam.Index(segments, 13)
+    arrays = [index.words, index.begin]
+    for s, first, lines in index.searchers:
+        arrays += [s.shift, s.entries, s.first, first, lines]
+        assert len(s.start) == 188_000
+    assert sum(a.nbytes for a in arrays) < 60 * 200_000
+
+
 def test_decontamination_edge(spark):
     bench = spark.createDataFrame([(1, SAME), (1, SAME), (None, "a")], "item_id long, text string")
     got = by_id(decontam.decontaminate(edge(spark), bench))
