@@ -130,22 +130,28 @@ class Index:
         first = np.searchsorted(pairs, np.arange(len(reps) + 1) * len(self.items))
         return WuManber(self.words, start[reps], np.full(len(reps), window)), first, pairs % len(self.items)
 
-    def hits(self, words: list[bytes]) -> tuple[list[list[int]], set[bytes]]:
-        """Merged intervals of hit words, and the items' ids."""
+    def hits(self, texts: list[list[bytes]]) -> list[tuple[list[list[int]], set[bytes]]]:
+        """Per text, merged intervals of hit words and the items' ids.
+
+        All texts are searched as one, with a word of no item between them.
+        """
+        sizes = np.array([len(w) + 1 for w in texts], np.int64)
+        begin = np.cumsum(sizes) - sizes
         get = self.number.get
-        coded = np.fromiter((get(w, -1) for w in words), np.int32, len(words))
-        if not (coded >= 0).any():
-            return [], set()
-        spans, lines = set(), []
-        for searcher, first, owners in self.searchers:
-            found = set()
+        coded = np.fromiter((get(w, -1) for words in texts for w in (*words, None)), np.int32, int(sizes.sum()))
+        out: list = [([], set()) for _ in texts]
+        spans: dict[int, set] = {}
+        found: dict[int, list[set]] = {}
+        for k, (searcher, _, _) in enumerate(self.searchers):
             for start, end, p in searcher.occurrences(coded):
-                spans.add((start, end))
-                found.add(p)
-            lines += [owners[first[p] : first[p + 1]] for p in found]
-        if not spans:
-            return [], set()
-        return _merge(spans), {item for k in np.unique(np.concatenate(lines)).tolist() for item in self.items[k]}
+                text = int(np.searchsorted(begin, start, side="right")) - 1
+                lo = int(begin[text])
+                spans.setdefault(text, set()).add((start - lo, end - lo))
+                found.setdefault(text, [set() for _ in self.searchers])[k].add(p)
+        for text, by_searcher in found.items():
+            lines = [owners[first[p] : first[p + 1]] for (_, first, owners), ps in zip(self.searchers, by_searcher) for p in ps]
+            out[text] = _merge(spans[text]), {item for k in np.unique(np.concatenate(lines)).tolist() for item in self.items[k]}
+        return out
 
 
 def _merge(spans) -> list[list[int]]:
@@ -162,16 +168,14 @@ def _segments(benchmark: DataFrame, item_col: str, text_col: str, window: int, w
     """Items in segments of at most ``words`` words that overlap by a window less one: ``item, line``."""
 
     def run(batches):
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
-                items, lines = [], []
-                for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
-                    w = words_of(text)
-                    for at in range(0, max(1, len(w) - window + 1), words - window + 1):
-                        items.append(item.encode())
-                        lines.append(b" ".join(w[at : at + words]))
-                yield pa.RecordBatch.from_arrays([pa.array(items, pa.binary()), pa.array(lines, pa.binary())], names=["item", "line"])
+        for batch in _sliced(batches):
+            items, lines = [], []
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist()):
+                w = words_of(text)
+                for at in range(0, max(1, len(w) - window + 1), words - window + 1):
+                    items.append(item.encode())
+                    lines.append(b" ".join(w[at : at + words]))
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.binary()), pa.array(lines, pa.binary())], names=["item", "line"])
 
     named = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
     return named.mapInArrow(run, "item binary, line binary").where("octet_length(line) > 0").distinct()
@@ -247,11 +251,11 @@ def decontaminate(
 
         def run(batches):
             index = _index(shipped, window)
-            for batch in batches:
+            for batch in _sliced(batches):
                 words = [words_of(t) for t in batch.column("text").to_pylist()]
-                spans, items = zip(*map(index.hits, words)) if words else ((), ())
-                items = [sorted(i.decode() for i in x) for x in items]
-                cols = _verdict_columns([len(w) for w in words], list(spans), items, share)
+                found = index.hits(words)
+                items = [sorted(i.decode() for i in x) for _, x in found]
+                cols = _verdict_columns([len(w) for w in words], [x for x, _ in found], items, share)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", *_VERDICT])
 
         return df.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{k} {v}" for k, v in _VERDICT.items()))
@@ -286,6 +290,12 @@ def _ship(piece: DataFrame):
     return piece.sparkSession.sparkContext.broadcast(pickle.dumps(rows))
 
 
+def _sliced(batches, rows: int = 256):
+    for whole in batches:
+        for lo in range(0, whole.num_rows, rows):
+            yield whole.slice(lo, rows)
+
+
 def _count_words(batches):
     for batch in batches:
         n = [len(words_of(t)) for t in batch.column("text").to_pylist()]
@@ -295,10 +305,10 @@ def _count_words(batches):
 def _pass(shipped, window: int):
     def run(batches):
         index = _index(shipped, window)
-        for batch in batches:
+        for batch in _sliced(batches):
             uids, all_spans, all_items = [], [], []
-            for uid, text in zip(batch.column("uid").to_pylist(), batch.column("text").to_pylist()):
-                spans, items = index.hits(words_of(text))
+            found = index.hits([words_of(t) for t in batch.column("text").to_pylist()])
+            for uid, (spans, items) in zip(batch.column("uid").to_pylist(), found):
                 if spans:
                     uids.append(uid)
                     all_spans.append(spans)
