@@ -11,7 +11,9 @@ edges whose key is within the radius of the distance just measured.
 A shard tree is shipped, by the shuffle, to the tasks that ask it: all trees
 together grow with the corpus, so none of this is a broadcast variable.  No
 tree has over ``max_nodes`` nodes; a shard with more is cut into several trees
-and its members are sent as queries to each of them.
+and its members are sent as queries to each of them.  A dense shard, one of more
+than ``dense`` trees, isn't searched at all while its members can be dealt anew
+by one block more, which its pairs within the radius share as well.
 """
 
 from __future__ import annotations
@@ -110,10 +112,14 @@ class BKTree:
         return found
 
 
+#: Whole blocks in a shard key at most.
+MOST_BLOCKS = 6
+
+
 def blocks_for(n: int, radius: int, per_shard: int = 64) -> int:
     """How many whole blocks a shard key takes so that shards stay small for ``n`` values."""
     k = 1
-    while k < 6 and n / 2 ** (64 * k / (radius + k)) > per_shard:
+    while k < MOST_BLOCKS and n / 2 ** (64 * k / (radius + k)) > per_shard:
         k += 1
     return k
 
@@ -167,19 +173,30 @@ def _edges(found):
     return pa.RecordBatch.from_arrays([a, b], names=["src", "dst"])
 
 
-def links(classes: DataFrame, radius: int = 4, max_nodes: int = 256) -> DataFrame:
+def links(classes: DataFrame, radius: int = 4, max_nodes: int = 256, dense: int = 16) -> DataFrame:
     """Edges ``src, dst`` between the ``rep`` of fingerprints within ``radius`` bits.
 
     ``classes`` has one row ``fp, rep`` per distinct fingerprint.  Each task
     emits a spanning forest of the links of a tree, so that edges are enough
     for components and never grow with the square of a dense shard.
     """
-    k = blocks_for(classes.count(), radius)
-    masks = shard_masks(radius, k)
-    keys = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
-    entries = classes.select("fp", "rep", F.explode(keys).alias("key"))
-    sizes = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    trees = F.ceil(F.col("n") / max_nodes).cast("int")
+    k, edges = blocks_for(classes.count(), radius), None
+    while True:
+        masks = shard_masks(radius, k)
+        keys = F.transform(F.array(*[F.lit(m) for m in masks]), lambda m, i: F.xxhash64(i, F.col("fp").bitwiseAND(m)))
+        entries = classes.select("fp", "rep", F.explode(keys).alias("key"))
+        sizes = written(entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shards")
+        fits = F.col("n") <= (max_nodes * dense if k < MOST_BLOCKS else 1 << 62)
+        found = _searched(entries.join(sizes.where(fits), "key"), radius, max_nodes)
+        edges = found if edges is None else edges.unionByName(found)
+        if sizes.where(~fits).isEmpty():
+            return edges
+        classes = written(entries.join(sizes.where(~fits), "key", "left_semi").select("fp", "rep").distinct(), "dense")
+        k += 1
+
+
+def _searched(entries: DataFrame, radius: int, max_nodes: int) -> DataFrame:
+    """The links within shards, from rows ``key, fp, rep, n`` (``n`` the shard's size)."""
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("g")).cast("int")
     # role 1: node of tree i, asked by the members of part j > i; role 0: asks; role 2: both, in its own part
     as_node = F.transform(F.sequence(F.col("s"), F.col("g") - 1), lambda j: F.struct(
@@ -187,13 +204,12 @@ def links(classes: DataFrame, radius: int = 4, max_nodes: int = 256) -> DataFram
     as_query = F.transform(F.filter(F.sequence(F.lit(0), F.col("s")), lambda i: i < F.col("s")), lambda i: F.struct(
         i.alias("i"), F.col("s").alias("j"), F.lit(0).alias("role")))
     dealt = (
-        entries.join(sizes, "key")
-        .withColumn("g", trees)
+        entries.withColumn("g", F.ceil(F.col("n") / max_nodes).cast("int"))
         .withColumn("s", own)
         .select("key", "fp", "rep", F.explode(F.concat(as_node, as_query)).alias("p"))
         .select("key", "p.i", "p.j", "p.role", "fp", "rep")
     )
-    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sorted_ = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", F.desc("role"), "fp")
     return sorted_.mapInArrow(_search(radius), "src long, dst long")
 
@@ -209,10 +225,13 @@ def near_duplicates(
     """``doc_id, fingerprint, component_id`` for each row of ``docs``.
 
     * null or empty text: fingerprint zero, linked like any other;
+    * very long texts: all their shingles count;
+    * ties: a bit set in just half of the hashes is 0; a component is named by
+      its smallest id;
     * repeated rows and ids: a row each, with the same component;
     * null id: kept with the component of its fingerprint class, null if no
       other member has an id;
-    * empty table: no rows; other columns of ``docs`` are ignored.
+    * empty table: no rows; other columns of ``docs`` are ignored, whatever their names.
     """
     fps = written(fingerprints(docs, id_col, text_col, words), "fp")
     classes = written(fps.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -233,7 +252,11 @@ def near_duplicates(
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """``docs`` with one document, that of the smallest id, left of each group.
 
-    A row that repeats another's id and text goes too; rows without an id stay.
+    * null and empty texts are one group; very long texts count whole;
+    * rows that repeat another's id, whatever their text: one of them stays;
+    * rows without an id stay, each of them;
+    * ties can't be: a group's smallest id is one id; empty table: no rows;
+    * all columns are kept as they are, whatever their names.
     """
     found = written(near_duplicates(docs, id_col, text_col, **parameters), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
