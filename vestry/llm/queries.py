@@ -57,7 +57,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=16)
+    placed = sharding.shard(_table(spark, sf_dir, "documents"), shards=16, tokenizer_file=tokenizer_file("byte_bpe_50k.json"))
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
