@@ -382,15 +382,15 @@ def test_simhash(spark, sf_dir, documents):
     assert {i: (r[0]["fingerprint"], r[0]["component_id"]) for i, r in got.items()} == {i: (f"{fp[i]:016x}", comp[i]) for i in ids}
 
 
-@pytest.mark.parametrize("n, max_nodes", [(600, 16), (600, 10_000), (3, 2)])
-def test_simhash_links_lose_none(spark, n, max_nodes):
+@pytest.mark.parametrize("n, max_nodes, dense", [(600, 16, 16), (600, 16, 2), (600, 8, 1), (600, 10_000, 16), (3, 2, 1)])
+def test_simhash_links_lose_none(spark, n, max_nodes, dense):
     """Dense groups in shards that are cut into several trees."""
     rng = random.Random(n + max_nodes)
     centres = [rng.getrandbits(64) for _ in range(6)]
     values = list({c ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 5))) for c in centres for _ in range(n // 6)})
     rows = [(v - (1 << 64) if v >> 63 else v, i) for i, v in enumerate(values)]
     classes = spark.createDataFrame(rows, "fp long, rep long")
-    edges = [(r["src"], r["dst"]) for r in simhash.links(classes, 4, max_nodes).collect()]
+    edges = [(r["src"], r["dst"]) for r in simhash.links(classes, 4, max_nodes, dense).collect()]
     assert all((values[a] ^ values[b]).bit_count() <= 4 for a, b in edges)
     true = [(a, b) for a in range(len(values)) for b in range(a) if (values[a] ^ values[b]).bit_count() <= 4]
     assert components(range(len(values)), edges) == components(range(len(values)), true)
@@ -557,6 +557,37 @@ def check_shards(rows, n_rows):
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_placing_equals_plain_loops():
+    rng = np.random.default_rng(4)
+    for n, shards in ((0, 3), (1, 4), (200, 7)):
+        w = np.round(rng.random((n, 3)), 2) + 0.01
+        w /= w.sum(0) if n else 1
+        room = [[1 / shards] * 3 for _ in range(shards)]
+        want = [0] * n
+        for i in sorted(range(n), key=lambda i: (-max(w[i]), i)):
+            products = [sum(a * b for a, b in zip(r, w[i])) for r in room]
+            want[i] = max(range(shards), key=lambda s: (round(products[s], 12), -s))
+            room[want[i]] = [a - b for a, b in zip(room[want[i]], w[i])]
+        assert sharding.place(w, np.full((shards, 3), 1 / shards)).tolist() == want
+
+
+def test_sharding_balances_all_dimensions(spark):
+    """With few items and a small reserve, most groups are placed by tasks."""
+    rng = random.Random(10)
+    texts = [" ".join(rng.choices(("a", "word", "considerably"), k=int(rng.paretovariate(1.2)) + 1)) + f" {k}" for k in range(6000)]
+    texts += texts[:500] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.shard(df, 8, items=64, reserve=200).collect()
+    check_shards(rows, len(texts))
+    loads, where = np.zeros((8, 3)), {}
+    for r in rows:
+        t = texts[r["doc_id"]]
+        loads[r["shard"]] += [len(t) + 1, len(t.split()) + 1, 1]
+        where.setdefault(t, set()).add(r["shard"])
+    spread = (loads.max(0) - loads.min(0)) / loads.mean(0)
+    assert all(len(s) == 1 for s in where.values()) and spread[0] < 0.005 and spread.max() < 0.03, spread
+
+
 def test_sharding(spark, sf_dir, documents):
     rows = queries.op8_sharding(spark, sf_dir).collect()
     check_shards(rows, len(documents))
@@ -659,6 +690,36 @@ def test_embeddings(spark, block):
     assert got[-8:-2] == want[-8:-2] and [g[1] for g in got[-2:]] == [1, 1]
 
 
+@pytest.mark.parametrize("n", [500, 4000, 20_000])
+def test_embeddings_recall_as_registered(spark, n):
+    """Pairs planted at cosines from 0.95 to 0.96, found with the parameters of the query."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 48))
+    pairs = 200
+    for k in range(pairs):
+        a, b = x[2 * k] / np.linalg.norm(x[2 * k]), x[2 * k + 1]
+        b = b - (b @ a) * a
+        c = rng.uniform(0.9501, 0.96)
+        x[2 * k + 1] = (c * a + math.sqrt(1 - c * c) * b / np.linalg.norm(b)) * rng.uniform(0.5, 2)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.near_duplicates(df).where("vec_id < 400 or n_links > 0").collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    true = {k for k in range(pairs) if unit[2 * k] @ unit[2 * k + 1] >= 0.95}
+    hit = {k for k in true if got[2 * k] == got[2 * k + 1] == (1, 2 * k)}
+    assert len(true) == pairs and len(hit) >= 0.97 * pairs
+    assert all(i < 400 for i in got), "no pair below the threshold"
+
+
+def test_embeddings_keys(spark):
+    signer = embeddings.Signer(13, 11, 3)
+    x = np.random.default_rng(1).normal(size=(5, 7))
+    signs = signer.signs(x)
+    longs = signer.packed(signs)
+    assert (signer.unpacked(longs) == signs).all()
+    df = spark.createDataFrame([(v,) for v in longs.tolist()], "signs array<long>")
+    assert [r[0] for r in df.select(embeddings._keys(F.col("signs"), 13, 11)).collect()] == signer.keys(signs).tolist()
+
+
 def test_embeddings_edge(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (3, None), (4, [0.0, 1.0])], "vec_id long, embedding array<double>")
     got = by_id(embeddings.near_duplicates(df), "vec_id")
