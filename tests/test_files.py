@@ -38,9 +38,10 @@ def test_images(spark, folder):
     img = images.decode(df.first()["image"])
     assert img.shape == (20, 30, 3) and img[1, 2].tolist() == [7, 5, 6]  # blue, green, red
     out = images.preprocess_pages(df, skip=("resize",)).collect()
-    assert len(out) == 3 and out[0]["steps"][-1] == "border_removal(w=10)"
-    registered = images.preprocess_pages(df, backends={"denoise": lambda x: x}, skip=("resize",)).first()
-    assert "mild_denoise" in registered["steps"]
+    steps = ["color_normalize", "illumination_normalize", "mild_denoise", "deskew_robust", "contrast(clip=2.0)", "border_removal(w=10)"]
+    assert len(out) == 3 and out[0]["steps"] == steps
+    plugged = images.preprocess_pages(df, backends={"denoise": lambda x: x[:, :25], "contrast": lambda x: x[:15]}, skip=("resize",)).first()
+    assert (plugged["height"], plugged["width"]) == (15, 25)
     profiles = images.page_profiles(df)
     assert profiles.where("axis = 'row'").count() == 60
     assert layout.profile_segments(profiles.where("axis = 'row'"), 0.08, 15).count() >= 0
@@ -99,7 +100,18 @@ def test_pages_to_records(spark, tmp_path):
     assert [(r["start"], r["end"]) for r in cols.orderBy("start").collect()] == [(0, 102), (102, 260)]
     kinds = [r["type"] for r in plan.elements(imgs).collect()]
     assert kinds.count("data_cell") == 8 and kinds.count("header_row") == 1
-    out = plan.pages_to_records(imgs, lambda crop: ("12.III.1878 р. Иван Петров ", 0.9))
+    quick = {"denoise": lambda x: x}
+    pages_ = plan.process_pages(imgs, lambda crop: ("12.III.1878 р. Иван Петров ", 0.9), quick, skip=("resize", "deskew_robust"))
+    page = pages_.first()
+    assert page["page_type"] == "table" and page["steps"][0] == "color_normalize" and page["before"]["contrast"] > 0
+    kinds = [e["type"] for e in page["elements"]]
+    assert kinds.count("data_cell") == 8 and kinds.count("header_row") == 1 and kinds.count("table") == 1
+    assert all((e["text"] is not None) == (e["type"] in ("data_cell", "header_row", "record_block")) for e in page["elements"])
+    assert [e["position"] for e in page["elements"]] == list(range(len(kinds))) and plan.page_elements(pages_).count() == len(kinds)
+    out = plan.pages_to_records(imgs, lambda crop: ("12.III.1878 р. Иван Петров ", 0.9), quick, skip=("resize", "deskew_robust"))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    facts = out.select("file", "image_size", "page_type", "num_elements", "quality_metrics.steps").first()
+    assert facts[:4] == ("t.png", "260x300", "table", len(kinds)) and len(facts["steps"]) == 5
     r = out.withColumn("rec_id", F.lit(1)).first()
     assert r["record_type"] == "birth" and r["birth_date"]["value"] == "1878-03-12"
     assert schemas.conform(out.withColumn("rec_id", F.lit(1))).schema.simpleString() == schemas.RECORD.simpleString()

@@ -162,7 +162,7 @@ def test_pixels():
     assert P.target_size(4000, 5000) == (2400, 3000) and P.target_size(500, 700) == (1071, 1500) and P.target_size(2000, 1600) == (2000, 1600)
     out = P.remove_border(img, 5)
     assert (out[:5] == 255).all() and (out[5:-5, 5:-5] == img[5:-5, 5:-5]).all() and P.remove_border(img, 0) is img
-    assert P.gray_world(img).shape == img.shape and P.resize(img, 80, 25).shape == (80, 25, 3)
+    assert P.gray_world(img).shape == img.shape and P.bilinear(img, 80, 25).shape == (80, 25, 3)
     assert P.normalize_illumination(img).max() == 255
     q = P.quality(np.full((10, 10), 255, np.uint8))
     assert q == {"contrast": 0.0, "sharpness": 0.0, "entropy": -0.0} or abs(q["entropy"]) < 0.01

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from vestry.config import DEFAULT
+from vestry.fixed import ELEMENT_TYPES_READ
+from vestry.functions import pagelayout
 from vestry.functions import pixels as P
 from vestry.operators import images as I
-from vestry.operators import layout, reading, records, resolve
+from vestry.operators import layout, ocr, reading, records, resolve
 from vestry.operators.cleanup import clean
 
 
@@ -77,10 +83,94 @@ def read_elements(images: DataFrame, found: DataFrame, engine: Callable, backend
     return pages.mapInArrow(run, "page_id string, position int, text string, confidence double")
 
 
-def pages_to_records(images: DataFrame, engine: Callable, backends: dict | None = None) -> DataFrame:
-    """The whole way; a shuffle by page for the texts, none after that."""
-    texts = reading.page_text(read_elements(images, elements(images), engine, backends))
-    return text_to_records(texts.withColumnRenamed("full_text", "raw_text"))
+ELEMENT = (
+    "struct<position:int,type:string,x1:int,y1:int,x2:int,y2:int,confidence:double,source:string,region_type:string,"
+    "properties:map<string,string>,text:string,read_confidence:double>"
+)
+_METRICS = "struct<contrast:double,sharpness:double,entropy:double>"
+PAGE = (
+    f"path string, height int, width int, before {_METRICS}, after {_METRICS}, steps array<string>, page_type string, "
+    f"elements array<{ELEMENT}>, seconds double"
+)
+
+
+def process_pages(
+    images: DataFrame,
+    engine: Callable | None = None,
+    backends: dict | None = None,
+    skip: tuple[str, ...] = (),
+    scale_raw: bool = False,
+    strict_notes: bool = True,
+    voting: bool = False,
+) -> DataFrame:
+    """One row per page image: size, quality before and after stage one, kind of page, elements in reading order with texts.
+
+    A page is decoded once and stays in its task: stage one, layout, crops,
+    their preprocessing and reading; no pixel is shuffled.  ``engine`` takes a
+    crop and returns text and confidence; without one the registered engines
+    are tried in turn.  The grid comes from the raw page, which is scaled only
+    if it is too large: a page that stage one makes larger or turns keeps the
+    raw grid's coordinates, unless ``scale_raw`` brings the raw page to the same
+    size.
+    """
+    plugged = dict(I.BACKENDS if backends is None else backends)
+    read = engine or ocr.registered(plugged, voting)
+    arrow = to_arrow_schema(T._parse_datatype_string(PAGE))
+
+    def run(batches):
+        for row in I.rows_of(batches):
+            img = I.decode(row["image"])
+            if img is None:
+                continue
+            began = time.perf_counter()
+            done, steps = I.preprocess(img, skip=frozenset(skip), backends=plugged)
+            raw = P.gray(img)
+            h, w = raw.shape
+            if scale_raw:
+                raw = P.bilinear(raw, *done.shape[:2])
+            elif max(h, w) > DEFAULT.max_side:
+                raw = P.bilinear(raw, *P.target_size(h, w, 1))
+            kind, found = pagelayout.analyze(done, raw, plugged.get("yolo"), strict_notes)
+            elements = []
+            for k, e in enumerate(found):
+                x1, y1, x2, y2 = e.box
+                text = confidence = None
+                if e.type in ELEMENT_TYPES_READ and (crop := done[y1:y2, x1:x2]).size:
+                    text, confidence = read(I.preprocess_region(crop, pagelayout.crop_kind(e), plugged))
+                elements.append(
+                    {"position": k, "type": e.type, "x1": x1, "y1": y1, "x2": x2, "y2": y2, "confidence": float(e.confidence), "source": e.source}
+                    | {"region_type": e.region_type, "properties": list(e.properties.items()), "text": text, "read_confidence": confidence}
+                )
+            page = {"path": row["image"]["origin"], "height": h, "width": w, "before": P.quality(img), "after": P.quality(done), "steps": steps}
+            page |= {"page_type": kind, "elements": elements, "seconds": round(time.perf_counter() - began, 2)}
+            yield pa.RecordBatch.from_pylist([page], schema=arrow)
+
+    return images.select("image").mapInArrow(run, PAGE)
+
+
+def pages_to_records(images: DataFrame, engine: Callable | None = None, backends: dict | None = None, **parameters) -> DataFrame:
+    """The whole way, without a shuffle: a record per page, with the facts that a result of a page has.
+
+    ``request_id`` is made of the path, so a page that is done again has the same.
+    """
+    pages = process_pages(images, engine, backends, **parameters)
+    texts = F.filter(F.transform("elements", lambda e: e["text"]), lambda t: t.isNotNull() & (F.regexp_replace(t, r"(?U)\s", "") != ""))
+    facts = pages.select(
+        F.substring(F.sha2("path", 256), 1, 16).alias("request_id"),
+        F.element_at(F.split("path", "/"), -1).alias("file"),
+        F.col("seconds").alias("time"),
+        F.concat_ws("x", "width", "height").alias("image_size"),
+        F.struct("before", "after", "steps").alias("quality_metrics"),
+        "page_type",
+        F.size("elements").alias("num_elements"),
+        F.array_join(texts, "\n").alias("raw_text"),
+    )
+    return text_to_records(facts.withColumn("raw_text_preview", F.substring("raw_text", 1, 500)))
+
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """The elements of :func:`process_pages` as rows ``page_id, position, type, ...``."""
+    return pages.select(F.col("path").alias("page_id"), F.inline("elements"))
 
 
 def ink(crop) -> float:
