@@ -1,5 +1,6 @@
 """Sources, sinks and the stream, over real files."""
 
+import json
 import struct
 import zlib
 
@@ -75,7 +76,71 @@ def test_results(spark, tmp_path):
 
 
 def test_health(spark, tmp_path):
-    assert {r["status"] for r in files.health(spark, {"a": str(tmp_path), "b": str(tmp_path / "none")}).collect()} == {"degraded"}
+    rows = files.health(spark, {"a": str(tmp_path), "b": str(tmp_path / "none")}).collect()
+    assert {r["status"] for r in rows} == {"degraded"} and [r["issue"] for r in rows] == [None, "b directory missing"]
+    assert files.health(spark, {"a": str(tmp_path)}).first()["status"] == "healthy"
+
+
+def test_result_files(spark, tmp_path):
+    up, out = str(tmp_path / "up"), str(tmp_path / "out")
+    rows = [(f"{k:04x}", f"page{k}.PNG" if k else "scan", bytes([k]) * 10, "birth", k / 2, True) for k in range(5)]
+    df = spark.createDataFrame(rows, "request_id string, file string, content binary, record_type string, time double, needs_review boolean")
+    assert [r["name"] for r in files.save_uploads(df, up).orderBy("name").collect()] == ["0000.jpg", "0001.PNG", "0002.PNG", "0003.PNG", "0004.PNG"]
+    assert (tmp_path / "up/0002.PNG").read_bytes() == b"\2" * 10
+    records = df.drop("content").withColumn("age", F.struct(F.lit(3).alias("age_years")))
+    assert files.write_result_files(records, out, resolved=("age",)).count() == 5
+    made = json.loads((tmp_path / "out/0003.json").read_text())
+    assert made == {"request_id": "0003", "file": "page3.PNG", "processing_time_seconds": 1.5, "needs_review": True, "extracted_data": {"record_type": "birth"}, "resolved_data": {"age": {"age_years": 3}}}
+    (tmp_path / "out/odd.json").write_text("no object")
+    store = files.read_result_files(spark, out)
+    listed = {r["request_id"]: r for r in reading.list_results(store).collect()}
+    assert listed["0003"]["record_type"] == "birth" and listed["odd"]["record_type"] == "unknown" and listed["odd"]["total"] == 6
+    ids = spark.createDataFrame([("0000",), ("0001",), ("none",)], "request_id string")
+    assert {r["request_id"]: r["status"] for r in files.delete_result_files(ids, out, up).collect()} == {"0000": "deleted", "0001": "deleted", "none": "not found"}
+    assert not (tmp_path / "up/0000.jpg").exists() and (tmp_path / "up/0002.PNG").exists() and len(list((tmp_path / "out").glob("*.json"))) == 4
+    tries = spark.createDataFrame([(1, 0, True, "0002"), (1, 1, False, "none"), (2, 0, True, "0003")], "batch_id int, ord int, ok boolean, request_id string")
+    files.roll_back(reading.batch_outcome(tries), tries, out, up).collect()
+    assert not (tmp_path / "out/0002.json").exists() and (tmp_path / "out/0003.json").exists()
+    with pytest.raises(Exception):
+        files.write_files(spark.createDataFrame([("../x", b"")], "name string, content binary"), out).collect()
+
+
+def test_image_sink(spark, folder, tmp_path):
+    pages_ = images.preprocess_pages(files.images(spark, str(folder / "images")), skip=("resize", "mild_denoise"))
+    named = pages_.withColumn("name", F.concat(files.stem(F.col("path")), F.lit(".png")))
+    assert files.write_images(named, str(tmp_path / "png")).count() == 3
+    back = {r["image"]["origin"].rsplit("/", 1)[-1]: images.decode(r["image"]) for r in files.images(spark, str(tmp_path / "png")).collect()}
+    assert len(back) == 3
+    for r in named.collect():
+        assert (back[r["name"]].tobytes()) == bytes(r["data"])
+
+
+def test_validation(spark):
+    from vestry import schemas
+
+    df = schemas.conform(spark.createDataFrame([(1, "birth"), (2, "feast")], "rec_id long, record_type string"))
+    broken = df.withColumn("birth_date", F.struct(F.lit("x").alias("value"), F.lit(1.5).alias("confidence"))).withColumn("source_length", F.lit("many")).drop("language")
+    good = {r["rec_id"]: r["problems"] for r in schemas.problems(df).collect()}
+    assert good == {1: [], 2: ["record_type: unknown kind"]}
+    bad = schemas.problems(broken).where("rec_id = 1").first()["problems"]
+    assert sorted(p.split(":")[0] for p in bad) == ["birth_date", "language", "source_length"]
+
+
+def test_providers(spark):
+    from vestry.operators import assist
+
+    answer = '{"record_type": "birth", "child_name": {"value": "Иван", "confidence": 0.9}}'
+    df = spark.createDataFrame([(1, "текст"), (2, "")], "rec_id long, raw_text string")
+    assist.register_provider("test", lambda p: answer)
+    try:
+        got = assist.extract_with_model(df, "rec_id", "raw_text", "test", "m").collect()
+        assert [r["_extraction"].asDict() for r in got] == [{"method": "llm", "model": "m", "provider": "test", "source_length": n} for n in (5, 0)]
+        assert got[0]["child_name"]["value"] == "Иван" and not got[0]["needs_review"]
+        assist.register_provider("ollama", lambda p: 1 / 0)
+        assert [(r["response"], r["provider"]) for r in assist.ask(df, "rec_id", "raw_text", "nobody").collect()] == [("", "ollama")] * 2
+    finally:
+        assist.PROVIDERS.clear()
+    assert assist.provider_for("nobody")[0] == "ollama" and assist.provider_for("huggingface")[0] == "huggingface"
 
 
 def test_stream_equals_batch(spark, tmp_path):
