@@ -49,7 +49,13 @@ def test_salvage_full(spark, sf_dir):
 def test_image_pipeline(spark, sf_dir):
     rows = queries.image_pipeline(spark, sf_dir).collect()
     assert len(rows) == 10
-    assert {r["steps"] for r in rows} == {"color_normalize,illumination_normalize,border_removal(w=10)"}
+    steps = "resize(80),color_normalize,illumination_normalize,mild_denoise,deskew_robust,contrast(clip=2.0),border_removal(w=2)"
+    assert {r["steps"] for r in rows} == {steps} and all(44 <= r["height"] <= 90 for r in rows)
+
+
+def test_region_steps(spark, sf_dir):
+    rows = queries.region_steps(spark, sf_dir).collect()
+    assert len(rows) == 70 and {(r["least"], r["most"]) for r in rows if r["region"] in ("printed_text", "signature")} == {(0, 255)}
 
 
 def test_entry(spark):

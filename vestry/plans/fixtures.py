@@ -70,10 +70,10 @@ from events group by event_type, hour(ts) * 60 + minute(ts)
 #: Answers of three engines for the regions of pages.
 OCR = """
 select cast(floor(doc_id / 5) as bigint) as page_id, cast(doc_id % 5 as int) as position,
-       case when doc_id % 5 = 0 then substring(coalesce(text, ''), 1, 40) else '' end as t1,
-       case when doc_id % 3 = 0 then '' else substring(coalesce(text, ''), 1, 30) end as t2,
+       case when doc_id % 5 = 0 then coalesce(text, '') else '' end as t1,
+       case when doc_id % 3 = 0 then '' else coalesce(text, '') end as t2,
        cast(doc_id % 10 as double) / 10.0 as c2,
-       case when doc_id % 7 = 0 then '' else substring(coalesce(text, ''), 1, 35) end as t3
+       case when doc_id % 7 = 0 then '' when doc_id % 4 = 1 then coalesce(text, '') || ' и прочее' else coalesce(text, '') end as t3
 from documents
 """
 

@@ -339,7 +339,7 @@ PAIRS = [
     (
         "pairs",
         f"""select stem, image_path, text from (select 's' || doc_id as stem, 'data/images/s' || doc_id || '.png' as image_path from labels)
-        join (select 's' || doc_id as stem, {strip('substring(text, 1, 60)')} as text from documents) using (stem) where length(text) >= 2""",
+        join (select 's' || doc_id as stem, {strip('text')} as text from documents) using (stem) where length(text) >= 2""",
     )
 ]
 BOXES = ("boxes", fx.BOXES)
@@ -386,7 +386,7 @@ ORACLE = {
         f"{k}_records": REC + f"select rec_id, {values(k)}, average_confidence, source_length, method, language, needs_review from records where record_type = '{k}'"
         for k in FIELDS
     },
-    "empty_input": ctes(TEXT, ("e", f"select {rep('substring(raw_text, 1, 2)', '[0-9/.-]', '')} as t from metrical_text"))
+    "empty_input": ctes(TEXT, ("e", f"select case when rec_id % 3 = 0 then {rep('raw_text', '[^ ]', '')} else {rep('raw_text', '[А-Яа-яЁё]', '')} end as t from metrical_text"))
     + f"select case when {strip('t')} = '' then 'empty_input' else 'rule_based' end as method, 'unknown' as record_type, case when {strip('t')} = '' then 0 else length(t) end as source_length, count(*) as n from e group by all",
     "llm_gate": REC + "select rec_id, average_confidence, average_confidence < 0.4 as asks from records",
     "llm_merge": REC
@@ -537,4 +537,10 @@ ORACLE = {
       select p_partkey, cast(floor(w * k) as int) as new_w, cast(floor(h * k) as int) as new_h from s""",
     "deskew_median": ctes(ELEM)
     + "select page_id, round(median(edges * 100 - 5), 6) as angle, abs(round(median(edges * 100 - 5), 6)) >= 0.3 as rotate from elements where area >= 1500 group by page_id",
+    "page_layout": """with k as (select s_suppkey as k from supplier),
+      r as (select k, unnest([0, 62 + k % 7, 132 + k % 11, 202 + k % 13]) as y1, unnest([62 + k % 7, 132 + k % 11, 202 + k % 13, 320]) as y2, unnest([0, 1, 2, 3]) as nr from k),
+      c as (select k, unnest([0, 102 + k % 17]) as x1, unnest([102 + k % 17, 280]) as x2, unnest([0, 1]) as nc from k)
+      select 'page' || k as page_id, 'data_cell' as type, cast(x1 as int) as x1, cast(y1 as int) as y1, cast(x2 as int) as x2, cast(y2 as int) as y2, cast(nr as varchar) as row, cast(nc as varchar) as col from r join c using (k)
+      union all select 'page' || k, 'table', 0, 0, 280, 320, null, null from k
+      union all select 'page' || k, 'stamp', 200, 250, 240, 290, null, null from k""",
 }

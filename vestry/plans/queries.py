@@ -12,6 +12,7 @@ from vestry.functions import text as T
 from vestry.operators import assist, corpus, images, layout, reading, records, resolve
 from vestry.operators.cleanup import clean
 from vestry.plans import fixtures as fx
+from vestry.plans import pages as plan
 
 QUERIES = {}
 
@@ -130,7 +131,8 @@ birth_records, death_records, marriage_records = map(_records, X.TYPES)
 
 @query
 def empty_input(spark, sf_dir):
-    t = F.regexp_replace(F.substring("raw_text", 1, 2), "[0-9/.-]", "")
+    # a third of the texts lose all but their blanks, the others their letters
+    t = F.when(F.col("rec_id") % 3 == 0, F.regexp_replace("raw_text", "[^ ]", "")).otherwise(F.regexp_replace("raw_text", "[А-Яа-яЁё]", ""))
     df = records.extract_records(texts(spark, sf_dir).select("rec_id", t.alias("corrected_text")))
     return df.groupBy("method", "record_type", "source_length").agg(F.count("*").alias("n"))
 
@@ -411,7 +413,7 @@ def batch_rollback(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id")).alias("stem"), F.substring("text", 1, 60).alias("text"))
+    docs = fx.table(spark, sf_dir, "documents").select(F.concat(F.lit("s"), F.col("doc_id")).alias("stem"), "text")
     imgs = fx.table(spark, sf_dir, "labels").select(
         F.concat(F.lit("s"), F.col("doc_id")).alias("stem"), F.concat(F.lit("data/images/s"), F.col("doc_id"), F.lit(".png")).alias("image_path")
     )
@@ -472,36 +474,93 @@ def quality_metrics(spark, sf_dir):
 @query
 def resize_dims(spark, sf_dir):
     df = fx.table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 4000 + 100).alias("w"), (F.col("p_size") * 90 + 50).alias("h"))
-    side = F.greatest("w", "h")
-    scale = F.when(side < 1500, F.lit(1500.0) / side).when(side > 3000, F.lit(3000.0) / side).otherwise(1.0)
-    return df.select("p_partkey", *[F.floor(F.col(c) * scale).cast("int").alias(f"new_{c}") for c in "wh"])
+    size = images.target_size(F.col("h"), F.col("w"))
+    return df.select("p_partkey", size["width"].alias("new_w"), size["height"].alias("new_h"))
 
 
 @query
 def deskew_median(spark, sf_dir):
-    lines = fx.build(spark, sf_dir, fx.ELEMENTS).select("page_id", (F.col("edges") * 100 - 5).alias("angle"), "area")
-    kept = lines.where("area >= 1500").groupBy("page_id").agg(F.round(F.median("angle"), 6).alias("angle"))
-    return kept.withColumn("rotate", F.abs("angle") >= 0.3)
+    lines = fx.build(spark, sf_dir, fx.ELEMENTS).select("page_id", (F.col("edges") * 100 - 5).alias("angle"), F.col("area").alias("length"), F.lit(3000).alias("side"))
+    return images.page_skew(lines).select("page_id", F.round("angle", 6).alias("angle"), "rotate")
+
+
+_IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
+
+
+def _drawn(keys: DataFrame, key: str, draw) -> DataFrame:
+    """One page image per key, as the ``image`` source gives them; ``draw`` makes a BGR array of a key."""
+    import pyarrow as pa
+
+    kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
+
+    def run(batches):
+        for b in batches:
+            for k in b.column("k").to_pylist():
+                img = draw(k)
+                row = {"origin": f"page{k}", "height": img.shape[0], "width": img.shape[1], "nChannels": 3, "mode": 16, "data": img.tobytes()}
+                yield pa.RecordBatch.from_pydict({"image": [row]}, schema=pa.schema([("image", kind)]))
+
+    # a small table is one split, pages are much work
+    dealt = keys.select(F.col(key).alias("k")).repartition(2 * keys.sparkSession.sparkContext.defaultParallelism)
+    return dealt.mapInArrow(run, f"image {_IMAGE}")
+
+
+def _noisy(k: int):
+    """A small page of slanted waves and a ruled line, some larger than others."""
+    import numpy as np
+
+    h, w = (30, 40) if k % 3 else (66, 90)
+    y, x = np.mgrid[:h, :w]
+    img = np.stack([(x * 5 + y * c + k) % 256 for c in (3, 7, 11)], axis=-1).astype(np.uint8)
+    img[h // 2 + (x[0] * (k % 4)) // w, x[0]] = 0
+    return img
 
 
 @query
 def image_pipeline(spark, sf_dir):
-    """Stage one over real pixel arrays, one small page per supplier."""
+    """All seven steps of stage one over real pixel arrays, one small page per supplier."""
+    pages = _drawn(fx.table(spark, sf_dir, "supplier"), "s_suppkey", _noisy)
+    done = images.preprocess_pages(pages, min_side=60, max_side=80, border=2)
+    return done.select("path", "height", "width", "before.contrast", F.col("after")["contrast"].alias("contrast_after"), F.array_join("steps", ",").alias("steps"))
+
+
+def _ruled(k: int):
+    """A page with ruled lines whose places follow from its number, and a red stamp in its lower right."""
     import numpy as np
+
+    img = np.full((320, 280, 3), 250, np.uint8)
+    for y in (60 + k % 7, 130 + k % 11, 200 + k % 13):
+        img[y : y + 4] = 0
+    x = 100 + k % 17
+    img[:, x : x + 4] = 0
+    img[250:290, 200:240] = (30, 30, 200)
+    return img
+
+
+@query
+def page_layout(spark, sf_dir):
+    """Layout of drawn pages: the table, its cells and the stamp."""
+    pages = _drawn(fx.table(spark, sf_dir, "supplier"), "s_suppkey", _ruled)
+    skip = ("resize", "color_normalize", "illumination_normalize", "mild_denoise", "deskew_robust", "contrast", "border_removal")
+    found = plan.page_elements(plan.process_pages(pages, lambda crop: ("", 0.0), {}, skip=skip))
+    kept = found.where(F.col("type").isin("table", "data_cell", "stamp"))
+    return kept.select("page_id", "type", "x1", "y1", "x2", "y2", F.col("properties")["row"].alias("row"), F.col("properties")["col"].alias("col"))
+
+
+@query
+def region_steps(spark, sf_dir):
+    """Every region preprocessor over drawn crops: size, least, greatest and mean value of what comes out."""
     import pyarrow as pa
 
-    def draw(batches):
-        for b in batches:
-            rows = []
-            for k in b.column("s_suppkey").to_pylist():
-                y, x = np.mgrid[:30, :40]
-                img = np.stack([(x * 5 + y * c + k) % 256 for c in (3, 7, 11)], axis=-1).astype(np.uint8)
-                rows.append({"origin": f"page{k}", "height": 30, "width": 40, "nChannels": 3, "mode": 16, "data": img.tobytes()})
-            yield pa.RecordBatch.from_pydict({"image": rows}, schema=pa.schema([("image", kind)]))
+    kinds = sorted(images.REGION_STEPS)
 
-    kind = pa.struct([("origin", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("mode", pa.int32()), ("data", pa.binary())])
-    pages = fx.table(spark, sf_dir, "supplier").select("s_suppkey").mapInArrow(
-        draw, "image struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-    )
-    done = images.preprocess_pages(pages, skip=("resize",))
-    return done.select("path", "height", "width", "before.contrast", F.col("after")["contrast"].alias("contrast_after"), F.array_join("steps", ",").alias("steps"))
+    def run(batches):
+        for row in images.rows_of(batches):
+            img = images.decode(row["image"])
+            for kind in kinds:
+                out = images.preprocess_region(img, kind, {})
+                facts = [row["image"]["origin"], kind, *out.shape[:2], int(out.min()), int(out.max()), round(float(out.mean()), 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in facts], names=["path", "region", "height", "width", "least", "most", "mean"])
+
+    pages = _drawn(fx.table(spark, sf_dir, "supplier"), "s_suppkey", _noisy)
+    return pages.mapInArrow(run, "path string, region string, height long, width long, least long, most long, mean double")
