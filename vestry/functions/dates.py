@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vestry import fixed
-from vestry.functions.text import ROMAN_DATE, RU_DATE, literal_map
+from vestry.functions.text import ROMAN_DATE, RU_DATE, let, literal_map, literals
 
 UNKNOWN = "Unknown"
 _OLD = [m for m in fixed.MONTHS_GENITIVE if m not in ("января", "мая")]
@@ -28,28 +28,24 @@ def extract_date(t: Column) -> Column:
     """The first match of the first pattern that matches, as year-month-day; not checked against a calendar."""
     months, romans = literal_map(month_numbers()), literal_map(roman_numbers())
 
-    def part(pattern, k):
-        return F.regexp_extract(t, _I + pattern, k)
-
     def two(x):
-        return F.lpad(x.cast("string"), 2, "0")
+        return F.lpad(x, 2, "0")
 
     def when(pattern, value):
-        return F.when(part(pattern, 0) != "", value)
+        # parts are cut out of the match, which is short, and not out of the text
+        part = lambda m: lambda k: F.regexp_extract(m, _I + pattern, k)
+        return let(F.regexp_extract(t, _I + pattern, 0), lambda m: F.when(m != "", value(part(m))))
 
-    def named(pattern):
-        return F.concat_ws("-", part(pattern, 3), two(F.element_at(months, F.lower(part(pattern, 2)))), two(part(pattern, 1)))
+    def dated(month):
+        return lambda part: F.concat_ws("-", part(3), two(month(part(2))), two(part(1)))
 
-    roman = F.concat_ws(
-        "-", part(ROMAN_DATE, 3), two(F.element_at(romans, F.upper(part(ROMAN_DATE, 2)))), two(part(ROMAN_DATE, 1))
-    )
-    numeric = F.concat_ws("-", part(NUMERIC_DATE, 3), two(part(NUMERIC_DATE, 2)), two(part(NUMERIC_DATE, 1)))
+    named = dated(lambda m: F.element_at(months, F.lower(m)))
     return F.coalesce(
-        when(RU_DATE, named(RU_DATE)),
-        when(OLD_DATE, named(OLD_DATE)),
-        when(ROMAN_DATE, roman),
-        when(NUMERIC_DATE, numeric),
-        when(ISO_DATE, part(ISO_DATE, 0)),
+        when(RU_DATE, named),
+        when(OLD_DATE, named),
+        when(ROMAN_DATE, dated(lambda m: F.element_at(romans, F.upper(m)))),
+        when(NUMERIC_DATE, dated(lambda m: m)),
+        when(ISO_DATE, lambda part: part(0)),
         F.lit(UNKNOWN),
     )
 
@@ -72,30 +68,32 @@ def calendar_date(t: Column, year: Column | None = None) -> Column:
     """
     own = F.nullif(F.regexp_extract(t, r"(?U)\b(\d{4})\b", 1), F.lit(""))
     given = F.lit(None).cast("string") if year is None else F.when(year != 0, year.cast("string"))
-    best = F.coalesce(given, own)
-    easter = orthodox_easter(best)
-
-    def out(original, resolved, approximate, confidence):
+    facts = F.struct(F.coalesce(given, own).alias("best"), own.alias("own"), calendar_entry(t).alias("entry"))
+
+    def resolved(f):
+        best, own, entry = f["best"], f["own"], f["entry"]
+        movable, circa, none = entry == "movable", entry == "circa", entry.isNull()
+        lacks = F.when(movable, best.isNull()).otherwise(own.isNull())
+        easter = F.when(best.isNull(), "Пасха unknown").otherwise(orthodox_easter(best))
+        about = F.when(own.isNull(), "circa").otherwise(F.concat(own, F.lit("-01-01")))
+        fixed_day = F.concat(F.coalesce(best, F.lit("0000")), F.lit("-"), entry)
+        sure = F.when(none, 1.0).when(movable, F.when(lacks, 0.3).otherwise(0.85)).when(circa, F.when(lacks, 0.2).otherwise(0.5)).otherwise(0.8)
         return F.struct(
-            original.alias("original"), resolved.alias("resolved"), F.lit(approximate).alias("is_approximate"), F.lit(confidence).alias("confidence")
+            F.when(movable & ~lacks, F.concat(F.lit("Пасха "), best)).otherwise(t).alias("original"),
+            F.when(none, t).when(movable, easter).when(circa, about).otherwise(fixed_day).alias("resolved"),
+            F.coalesce(circa | (movable & lacks), F.lit(False)).alias("is_approximate"),
+            sure.alias("confidence"),
         )
 
-    movable = F.when(best.isNull(), out(t, F.lit("Пасха unknown"), True, 0.3)).otherwise(
-        out(F.concat(F.lit("Пасха "), best), easter, False, 0.85)
-    )
-    circa = F.when(own.isNull(), out(t, F.lit("circa"), True, 0.2)).otherwise(out(t, F.concat(own, F.lit("-01-01")), True, 0.5))
-    chosen = None
-    for reference, kind in fixed.CALENDAR:
-        value = (
-            movable
-            if kind == "movable"
-            else circa
-            if kind == "circa"
-            else out(t, F.concat(F.coalesce(best, F.lit("0000")), F.lit("-" + kind)), False, 0.8)
-        )
-        test = F.contains(F.lower(t), F.lit(reference))
-        chosen = F.when(test, value) if chosen is None else chosen.when(test, value)
-    return chosen.otherwise(out(t, t, False, 1.0))
+    return let(facts, resolved)
+
+
+def calendar_entry(t: Column) -> Column:
+    """What the first reference of the calendar's order that the lower-case text holds stands for; null if it holds none."""
+    kinds = literals([kind for _, kind in fixed.CALENDAR])
+    low = F.lower(t)
+    held = F.transform(literals([r for r, _ in fixed.CALENDAR]), lambda r: F.contains(low, r))
+    return F.get(kinds, F.nullif(F.array_position(held, True), F.lit(0)).cast("int") - 1)
 
 
 def parse_date(x: Column) -> Column:

@@ -65,7 +65,18 @@ def spelling_dictionary() -> dict[str, str]:
 
 
 def literal_map(d: dict) -> Column:
-    return F.create_map(*[F.lit(x) for pair in d.items() for x in pair])
+    """A constant map of strings, from a single literal: a large one is quick to build and to analyse."""
+    return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in d.items())), F.lit("\x1e"), F.lit("\x1f"))
+
+
+def literals(values) -> Column:
+    """A constant array of strings, from a single literal."""
+    return F.split(F.lit("\x1e".join(values)), "\x1e", -1)
+
+
+def let(x: Column, f) -> Column:
+    """``f(x)`` with ``x`` worked out once, however often ``f`` names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
 
 def correct_spelling(t: Column, keep_lead: bool = False) -> Column:

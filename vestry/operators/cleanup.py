@@ -23,6 +23,5 @@ def clean(df: DataFrame, text_col: str = "raw_text", preserve_lines: bool = True
         before = F.col(name)
     done = T.wrap_lines(before, width) if preserve_lines else before
     log = F.filter(F.array(*steps), lambda s: s.isNotNull())
-    df = df.withColumn("corrected_text", T.once(done)).withColumn("corrections_applied", log)
-    df = df.withColumn("original_text", F.col("corrected_text"))
-    return df.drop(*[f"__step{k}" for k in range(len(T.STEPS))])
+    df = df.withColumns({"corrected_text": T.once(done), "corrections_applied": log})
+    return df.withColumn("original_text", F.col("corrected_text")).drop(*[f"__step{k}" for k in range(len(T.STEPS))])

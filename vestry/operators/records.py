@@ -41,36 +41,34 @@ def extract_records(df: DataFrame, text_col: str = "corrected_text") -> DataFram
     """
     t = F.coalesce(F.col(text_col), F.lit(""))
     blank = strip(t) == ""
-    for kind in X.TYPES:
-        df = df.withColumn(f"{kind}_score", F.when(blank, 0).otherwise(X.type_score(t, kind)))
-    scores = [F.col(f"{k}_score") for k in X.TYPES]
-    df = df.withColumn("record_type", once(X.best_type(*scores)))
-    for kind, fields in X.FIELDS.items():
-        own = F.col("record_type") == kind
-        # each value is worked out once a row, whatever asks for it later
-        df = df.withColumns({f"__{name}": once(F.when(own, F.lit(UNKNOWN) if f is None else f(t))) for name, f, _ in fields})
-        df = df.withColumns({name: F.when(own, _prediction(F.col(f"__{name}"), c)) for name, _, c in fields})
-    found = X.age(t)
-    df = df.withColumn(
-        "age",
-        F.when((F.col("record_type") == "death") & found.isNotNull(), F.struct(found.alias("value"), F.lit(0.7).alias("confidence"))),
-    )
-    names = {k: [n for n, _, _ in fields] for k, fields in X.FIELDS.items()}
+    df = df.withColumns({"__blank": once(blank)} | {f"{kind}_score": F.when(blank, 0).otherwise(X.type_score(t, kind)) for kind in X.TYPES})
+    df = df.withColumn("record_type", once(X.best_type(*[F.col(f"{k}_score") for k in X.TYPES])))
+    kind_of = {name: kind for kind, fields in X.FIELDS.items() for name, _, _ in fields}
+    own = {name: F.col("record_type") == kind for name, kind in kind_of.items()}
+    # each value is worked out once a row, whatever asks for it later; a record has one date, whatever its type
+    finders = {name: f for fields in X.FIELDS.values() for name, f, _ in fields}
+    names = {f"__{n}": once(F.when(own[n], f(t))) for n, f in finders.items() if f not in (None, X.extract_date)}
+    df = df.withColumns(names | {"__date": once(F.when(F.col("record_type") != "unknown", X.extract_date(t))), "__age": once(F.when(own["death_date"], X.age(t)))})
+    values = {n: F.lit(UNKNOWN) if f is None else F.col("__date") if f is X.extract_date else F.col(f"__{n}") for n, f in finders.items()}
+    confidences = {n: c for fields in X.FIELDS.values() for n, _, c in fields}
+    age = F.when(F.col("__age").isNotNull(), F.struct(F.col("__age").alias("value"), F.lit(0.7).alias("confidence")))
+    df = df.withColumns({n: F.when(own[n], _prediction(v, confidences[n])) for n, v in values.items()} | {"age": age})
+    of = {k: [n for n, _, _ in fields] for k, fields in X.FIELDS.items()}
     mean = (
-        F.when(F.col("record_type") == "birth", average(*names["birth"]))
-        .when(F.col("record_type") == "death", average(*names["death"], extra="age"))
-        .when(F.col("record_type") == "marriage", average(*names["marriage"]))
+        F.when(F.col("record_type") == "birth", average(*of["birth"]))
+        .when(F.col("record_type") == "death", average(*of["death"], extra="age"))
+        .when(F.col("record_type") == "marriage", average(*of["marriage"]))
         .otherwise(0.0)
     )
-    return (
-        df.withColumn("average_confidence", mean)
-        .withColumn("source_length", F.when(blank, 0).otherwise(F.length(t)))
-        .withColumn("method", F.when(blank, "empty_input").otherwise("rule_based"))
-        .withColumn("language", F.lit("ru"))
-        # the rules mark every record for review; the mean only adds to that
-        .withColumn("needs_review", (F.col("average_confidence") < REVIEW_BELOW) | F.lit(True))
-        .drop(*[f"__{name}" for name in X.ALL_FIELDS])
-    )
+    facts = {
+        "average_confidence": mean,
+        "source_length": F.when(F.col("__blank"), 0).otherwise(F.length(t)),
+        "method": F.when(F.col("__blank"), "empty_input").otherwise("rule_based"),
+        "language": F.lit("ru"),
+        # the rules mark every record for review, whatever the mean
+        "needs_review": F.lit(True),
+    }
+    return df.withColumns(facts).drop("__blank", "__date", "__age", *names)
 
 
 def llm_gate(confidence: Column, force: bool = False, threshold: float = THRESHOLD) -> Column:
