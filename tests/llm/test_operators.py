@@ -65,6 +65,60 @@ def test_lm_edge(spark):
     assert nothing["n_known"] == 0 and nothing["train_tokens"] == 0
 
 
+def test_lm_words_that_often_lack(spark):
+    """A long word that is frequent in all texts, and a word that is frequent only where nothing is learned."""
+    rule, odd = "-" * 80, "zzzunlearned"
+    held = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    learned = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10]
+    rows = [(i, f"{odd} " * 3 + f"{rule} a own{i}") for i in held[:60]] + [(i, f"{rule} a b w{i}") for i in learned[:200]]
+    got = by_id(lm.score(spark.createDataFrame(rows, "doc_id long, text string"), BYTE_BPE, top=4, steps=2))
+    c = Counter(w for i, t in rows if i not in held for w in [*t.split(), None])
+    n, d = sum(c.values()), sum(c.values()) + 0.1 * (len(c) + 1)
+    for i, t in rows:
+        ws = [*t.split(), None]
+        assert (got[i][0]["n_tokens"], got[i][0]["n_known"], got[i][0]["train_tokens"]) == (len(ws), sum(c[w] > 0 for w in ws), n)
+        assert math.isclose(got[i][0]["base_score"], sum(math.log10((c[w] + 0.1) / d) for w in ws), rel_tol=1e-9)
+
+
+def naive_log_softmax(x):
+    x = x - x.max()
+    return x - math.log(np.exp(x).sum())
+
+
+def test_lm_score_equals_plain_attention():
+    """Each unit's probability, and a text's score, by loops over places."""
+    shape = attention.Shape(units=40, head=8, cluster=7, dim=6, hidden=5, stride=4, context=4)
+    rng = np.random.default_rng(9)
+    p = {k: v + rng.normal(size=v.shape) * 0.1 for k, v in attention.fresh(shape, np.arange(1, 40)).items()}
+    p["bt"][p["bt"] < -1e8] = -1e9
+    p32 = {k: v.astype(np.float32) for k, v in p.items()}
+    units = rng.integers(0, 39, 23)
+    want = []
+    for t in range(23):
+        first = t // 4 * 4
+        places = range(max(0, first - 4), t + 1)
+        x = [p["emb"][units[j - 1] + 1 if j else 0] + p["pos"][4 + j - first] for j in places]
+        q = x[-1] @ p["wq"]
+        a = np.array([q @ (k @ p["wk"]) for k in x]) / math.sqrt(6)
+        a = np.exp(a - a.max())
+        h = x[-1] + sum(w * (v @ p["wv"]) for w, v in zip(a / a.sum(), x))
+        h = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
+        u = units[t]
+        lp = naive_log_softmax(h @ p["uh"] + p["bh"])
+        if u < 8:
+            want.append(lp[u])
+        else:
+            k, n = divmod(u - 8, 7)
+            want.append(lp[8 + k] + naive_log_softmax(h @ p["ut"][k] + p["bt"][k])[n])
+    for batch, at_once in ((192, 24), (2, 2)):
+        got = attention.Scorer(p32, shape)(units, np.array([23]), batch, at_once)
+        assert np.allclose(got, np.array(want) / math.log(10), atol=2e-5)
+    words = np.array([3, 5, 1, 8, 6])  # units of five words
+    att = np.add.reduceat(np.array(want) / math.log(10), np.cumsum(words) - words)
+    uni = np.log10(rng.random(5) / 5)
+    assert np.allclose(lm.mixed(uni, att, 0.5), [math.log10(0.5 * 10**a + 0.5 * 10**b) for a, b in zip(uni, att)])
+
+
 def test_attention_is_a_distribution():
     shape = attention.Shape(units=21, head=6, cluster=5, stride=4, context=4)
     p = attention.train(np.arange(40) % 20, np.array([40]), np.ones(20), shape, steps=5)
