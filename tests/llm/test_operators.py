@@ -10,6 +10,7 @@ from collections import Counter
 from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -351,6 +352,29 @@ def test_suffix_automaton_counts_phrases():
     assert (one[0] == many[0]).all()
 
 
+def test_language_phrases_across_blocks():
+    """Each block begins a phrase; the whole of a long text against every sample."""
+    rng = random.Random(11)
+    samples = {"a": "".join(rng.choices("abc ", k=600)).strip(), "b": "".join(rng.choices("bcd ", k=400)).strip()}
+    parser = langid.CrossParser(samples)
+    text = "".join(rng.choices("abcdé ", k=5000))
+    folded = langid.fold(text)
+    assert len(folded) > 3 * 1024
+
+    def phrases(t, s):
+        n = i = 0
+        while i < len(t):
+            j = i
+            while j < len(t) and t[i : j + 1] in s:
+                j += 1
+            n, i = n + 1, max(j, i + 1)
+        return n
+
+    want = [sum(phrases(folded[lo : lo + 1024], s) for lo in range(0, len(folded), 1024)) for s in samples.values()]
+    sizes, counts = parser.phrases([text, "ab", text])
+    assert sizes.tolist() == [len(folded), 2, len(folded)] and counts[0].tolist() == counts[2].tolist() == want
+
+
 def test_language_accuracy(spark, sf_dir, documents):
     got = by_id(queries.op4_language(spark, sf_dir))
     rows = [(got[i][0], lang) for i, lang in zip(documents.doc_id, documents.lang)]
@@ -677,6 +701,14 @@ def test_sharding_edge(spark):
 # 9
 
 
+def quality_statistics(docs):
+    @F.pandas_udf("array<double>")
+    def made(t: pd.Series) -> pd.Series:
+        return t.map(quality.statistics)
+
+    return made("text")
+
+
 def test_quality(spark, sf_dir):
     import pyarrow.parquet as pq
 
@@ -710,7 +742,49 @@ def test_quality_edge(spark):
     assert {r["score"] for r in quality.score(edge(spark), labels.limit(0), features=16).collect()} == {0.5}
     assert quality.score(edge(spark).limit(0), labels, features=16).count() == 0
     kept = quality.keep_good(edge(spark), labels, features=16)
-    assert kept.columns == edge(spark).columns and kept.where("doc_id is null").count() == 2
+    assert kept.columns == edge(spark).columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, rs in got.items() for r in rs if r["predicted"])
+    clash = edge(spark).withColumns({"row": F.lit("own"), "x": F.lit(1), "a.b": F.lit(2)})
+    assert quality.keep_good(clash, labels, features=16).columns == clash.columns
+    assert quality.keep_good(edge(spark), labels.limit(0), features=16).count() == len(EDGE)
+    assert quality.keep_good(edge(spark).limit(0), labels, features=16).count() == 0
+
+
+def test_quality_equals_plain_equations(spark):
+    """The whole score: features, ridge by its normal equations, pooled bins and what lies between them."""
+    rng = random.Random(12)
+    texts = {i: " ".join(rng.choices(("good", "words", "stand", "here.") if i % 2 else ("#$%", "BUY", "!!", "x1"), k=rng.randint(3, 40))) for i in range(120)}
+    learned = [i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1]
+    y = {i: int(i % 2 if rng.random() > 0.15 else 1 - i % 2) for i in texts}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame(list(y.items()), "doc_id long, quality int")
+    got = {i: r[0]["score"] for i, r in by_id(quality.score(docs, labels, features=24)).items()}
+    fold = {r["doc_id"]: r["f"] for r in docs.withColumn("x", quality_statistics(docs)).select("doc_id", F.pmod(F.xxhash64("x", F.lit(3)), F.lit(3)).alias("f")).collect()}
+
+    x = {i: np.array(quality.statistics(t)) for i, t in texts.items()}
+    mean, dev = np.mean([x[i] for i in learned], 0), np.std([x[i] for i in learned], 0) + 1e-4
+    gen = np.random.default_rng(7)
+    w, b = gen.normal(0, math.sqrt(2 * 0.02), (len(mean), 24)), gen.uniform(0, 2 * np.pi, 24)
+
+    def features(i):
+        z = np.clip((x[i] - mean) / dev, -6, 6)
+        return np.concatenate([np.cos(z @ w + b) * math.sqrt(2 / 24), z / 10, [1]])
+
+    def ridge(rows):
+        a = sum(np.outer(features(i), features(i)) for i in rows)
+        a += 1e-3 * max(1, len(rows)) / 100 * np.eye(len(a))
+        return np.linalg.lstsq(a, sum(features(i) * y[i] for i in rows), rcond=None)[0]
+
+    coef, others = ridge(learned), {f: ridge([i for i in learned if fold[i] != f]) for f in range(3)}
+    bins = sorted((min(2047, max(0, int((features(i) @ others[fold[i]] + 0.5) / 2 * 2048))), y[i]) for i in learned)
+    at = sorted({k for k, _ in bins})
+    means = [np.mean([v for k, v in bins if k == a]) for a in at]
+    weight = [sum(k == a for k, _ in bins) for a in at]
+    # the increasing fit by its definition: the largest over starts of the least over ends of the means between
+    fit = [max(min(np.average(means[s : e + 1], weights=weight[s : e + 1]) for e in range(k, len(at))) for s in range(k + 1)) for k in range(len(at))]
+    for i in texts:
+        want = np.interp(features(i) @ coef, [-0.5 + (a + 0.5) * 2 / 2048 for a in at], fit)
+        assert got[i] == pytest.approx(min(1, max(0, want)), abs=1e-6)
 
 
 # 10
@@ -803,13 +877,40 @@ def test_pipeline(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).count() == len(ids[-1])
 
 
+def odd_inputs(spark, d, docs, labels=((4, 1, 0), (5, 1, 0)), items=((1, "nothing of this is there"),)):
+    docs.write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    return d
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
+    """All the odd cases at once, with further columns whose names the operators use."""
     import corpus_pipeline
 
-    d = str(tmp_path)
-    cols = ["doc_id", "text", "lang", "source", "n_chars"]
-    edge(spark).select(*cols).write.parquet(f"{d}/documents.parquet")
-    spark.createDataFrame([(4, 1, 0), (5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
-    spark.createDataFrame([(1, "nothing of this is there")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    docs = edge(spark).withColumns({"__h": F.lit("own"), "row": F.lit(1), "islands": F.lit(2), "component_id": F.lit(3)})
+    d = odd_inputs(spark, str(tmp_path / "a"), docs)
     got = by_id(corpus_pipeline.run(spark, d))
     assert {1, 4, 5, 6, None} <= set(got) and len(got[6]) == 1
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, table, d)
+        assert out.columns == docs.columns and out.where("`__h` <> 'own' or row <> 1").count() == 0
+
+
+@pytest.mark.parametrize("empty", ["documents", "labels", "benchmark"])
+def test_pipeline_on_empty_tables(spark, tmp_path, empty):
+    import corpus_pipeline
+
+    docs = edge(spark).limit(0) if empty == "documents" else edge(spark)
+    parts = {"labels": ()} if empty == "labels" else {"items": ()} if empty == "benchmark" else {}
+    got = by_id(corpus_pipeline.run(spark, odd_inputs(spark, str(tmp_path / empty), docs, **parts)))
+    assert (set(got) == set()) if empty == "documents" else {1, 4, 5, 6, None} <= set(got)
+
+
+def test_pipeline_leaves_one_table(spark, tmp_path):
+    import corpus_pipeline
+
+    before = set(common._made)
+    corpus_pipeline.run(spark, odd_inputs(spark, str(tmp_path / "one"), edge(spark))).count()
+    assert len(set(common._made) - before) == 1

@@ -260,11 +260,13 @@ def identify(
     ``held_out``.  ``score`` is the share of the second-best language's phrases,
     weighted by the log of its sample's size, in those of the best two: 0.5 for a draw, towards 1 for a clear case.
 
-    * null text, or one without a letter: ``und``, score 0;
+    * null or empty text, or one without a letter: ``und``, score 0;
+    * very long texts: parsed whole, in blocks of 1,024 symbols that each begin a
+      phrase, so a text has at most one phrase more for each block;
     * ties go to the language that sorts first;
     * no labelled rows: ``und`` for all; one language: that, score 1;
     * null ids and repeated rows: a row each; empty table: no rows; other
-      columns are ignored.
+      columns are ignored, whatever their names.
     """
     learned = samples(docs, id_col, text_col, lang_col, held_out_of, held_out, sample_chars)
     shipped = docs.sparkSession.sparkContext.broadcast(learned)

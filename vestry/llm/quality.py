@@ -18,9 +18,12 @@ import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from vestry.llm.common import crc32_of_id, written
 
@@ -95,6 +98,21 @@ def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.mapInArrow(run, f"doc_id {kind}, x array<double>")
 
 
+def _rows_with_features(docs: DataFrame, text_col: str) -> DataFrame:
+    """``row, x``: whole rows, whatever their columns, with what their text is judged by."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches):
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1024):
+                row = whole.slice(lo, 1024).column("row")
+                x = [statistics(t) for t in pa.compute.struct_field(row, text_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([row, pa.array(x, pa.list_(pa.float64()))], names=["row", "x"])
+
+    schema = StructType(df.schema.fields + [StructField("x", ArrayType(DoubleType()))])
+    return df.mapInArrow(run, schema)
+
+
 @dataclass
 class Model:
     """A fitted classifier; its size depends on the parameters alone."""
@@ -212,6 +230,18 @@ def fit(labelled: DataFrame, features: int = 384, gamma: float = 0.02, ridge: fl
     return model
 
 
+def _learn(feats: DataFrame, labels: DataFrame, label_id_col: str, label_col: str, held_out_of: int, held_out: int, **parameters) -> Model:
+    """Fits on the labelled ones of rows ``doc_id, x``."""
+    held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(held_out_of)) == held_out
+    known = (
+        labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
+        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
+        .groupBy("doc_id")
+        .agg(F.max("y").alias("y"))
+    )
+    return fit(written(feats.join(known, "doc_id").select("doc_id", "x", "y"), "labelled"), **parameters)
+
+
 def score(
     docs: DataFrame,
     labels: DataFrame,
@@ -229,21 +259,17 @@ def score(
     ``held_out``; of those, all are used.  The score comes from the text alone.
 
     * null or empty text: a point of its own, scored like any other;
+    * very long texts: their statistics are of the whole text;
+    * ties: texts of equal statistics have one score, and 0.5 is accepted;
     * null ids: scored, never labelled; null labels and labels other than 0 and
       1: not used; several labels of one id: the largest;
     * repeated rows: a row each; no labels at all: every score is 0.5;
-    * empty table: no rows; other columns are ignored.
+    * empty tables: no rows, or 0.5 without labels; other columns are
+      ignored, whatever their names.
     """
     feats = written(_features(docs, id_col, text_col), "statistics")
     held = F.pmod(crc32_of_id(F.col("doc_id")), F.lit(held_out_of)) == held_out
-    known = (
-        labels.select(F.col(label_id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y"))
-        .where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held)
-        .groupBy("doc_id")
-        .agg(F.max("y").alias("y"))
-    )
-    labelled = written(feats.join(known, "doc_id").select("doc_id", "x", "y"), "labelled")
-    model = fit(labelled, **parameters)
+    model = _learn(feats, labels, label_id_col, label_col, held_out_of, held_out, **parameters)
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = feats.schema["doc_id"].dataType.simpleString()
 
@@ -258,12 +284,33 @@ def score(
     )
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", **parameters) -> DataFrame:
+def keep_good(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    label_id_col: str = "doc_id",
+    label_col: str = "quality",
+    held_out_of: int = 3,
+    held_out: int = 1,
+    **parameters,
+) -> DataFrame:
     """The rows of ``docs`` whose text the classifier accepts, with their columns.
 
-    Rows of one id are judged together: an id goes if one of its texts is
-    rejected.  Rows without an id stay.
+    Rows are written once beside their statistics and filtered there, so no text
+    is shuffled.
+
+    * each row is judged by its own text: null and empty texts, very long ones,
+      ties, repeated rows and null ids are scored as :func:`score` says;
+    * no labels: every score is 0.5, so all rows stay; empty table: no rows;
+    * all columns are kept as they are, whatever their names.
     """
-    scored = score(docs, labels, id_col=id_col, **parameters)
-    bad = scored.where("predicted = 0").select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    rows = written(_rows_with_features(docs, text_col), "rows")
+    feats = rows.select(F.col("row")[id_col].alias("doc_id"), "x")
+    shipped = docs.sparkSession.sparkContext.broadcast(_learn(feats, labels, label_id_col, label_col, held_out_of, held_out, **parameters))
+
+    @F.pandas_udf("boolean")
+    def accepted(x: pd.Series) -> pd.Series:
+        return pd.Series(shipped.value.score(np.stack(x.to_numpy())) >= 0.5 if len(x) else [], dtype=bool)
+
+    return rows.where(accepted("x")).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -213,9 +213,13 @@ def encode_decode(
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` per row of ``docs``, and
     with ``keep_ids`` also ``ids array<int>`` and ``decoded string``.
 
-    No shuffle and no state between rows but bounded memories.  A null text
-    counts as empty: no ids, empty decoded text.  Repeated rows get a row each;
-    other columns are ignored; an empty table gives no rows.
+    No shuffle and no state between rows but bounded memories.
+
+    * null or empty text: no ids, empty decoded text;
+    * very long texts and words: encoded whole; a long word isn't kept in memory;
+    * ties: of equal scores the leftmost merge comes first, as in the library;
+    * repeated rows and null ids: a row each; empty table: no rows;
+    * other columns are ignored, whatever their names.
     """
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = df.schema["doc_id"].dataType.simpleString()
