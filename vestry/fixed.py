@@ -35,29 +35,28 @@ OCR_REPAIRS = [
 # Letters of the old spelling, lower case only.
 OLD_LETTERS = {"ѣ": "е", "і": "и", "ѳ": "ф", "ѵ": "и"}
 
-# Months, genitive and nominative, by number.
+# Months in the genitive, by number.
 MONTHS_GENITIVE = ["января", "февраля", "марта", "апреля", "мая", "июня", "июля", "августа", "сентября", "октября", "ноября", "декабря"]
-MONTHS_NOMINATIVE = ["январь", "февраль", "март", "апрель", "май", "июнь", "июль", "август", "сентябрь", "октябрь", "ноябрь", "декабрь"]
 # Old spellings of months; the i of the second one is Latin.
 MONTHS_OLD = {"генваря": 1, "маiя": 5}
 # Roman numerals that the date pattern knows (XII is not among them).
 ROMAN_MONTHS = ["I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX", "X", "XI"]
 
-# Words of the spelling dictionary that only matter for their case.
-SPELLING_KEPT = [
-    "родился", "родилась", "умер", "умерла", "скончался", "скончалась", "крещён", "крещена",
-    "венчался", "венчалась", "погребён", "погребена", "похоронен", "похоронена",
-    "сын", "дочь", "отец", "мать", "муж", "жена", "супруг", "супруга", "брак", "бракосочетание",
-]
-# Names and surnames that the spelling dictionary capitalises.
-SPELLING_NAMES = [
-    "Иван", "Анна", "Мария", "Пётр", "Александр", "Алексей", "Екатерина", "Елена", "Ольга", "Татьяна",
-    "Надежда", "Николай", "Михаил", "Владимир", "Дмитрий", "Сергей",
-    "Иванов", "Петров", "Сидоров", "Кузнецов", "Смирнов", "Попов", "Васильев", "Зайцев", "Соколов",
-    "Михайлов", "Фёдоров", "Белов", "Козлов", "Новиков", "Морозов", "Волков",
-]
-# Words that the spelling dictionary changes.
-SPELLING_CHANGED = {"родившись": "родился", "от": "отец", "мат": "мать", "петр": "Пётр", "федоров": "Фёдоров"}
+# The spelling dictionary; a word that stands for itself only keeps its case, capitals stand for names.
+SPELLING = {
+    "января": "январь", "февраля": "февраль", "марта": "март", "апреля": "апрель", "мая": "май", "июня": "июнь", "июля": "июль",
+    "августа": "август", "сентября": "сентябрь", "октября": "октябрь", "ноября": "ноябрь", "декабря": "декабрь", "родился": "родился",
+    "родилась": "родилась", "умер": "умер", "умерла": "умерла", "скончался": "скончался", "скончалась": "скончалась", "крещён": "крещён",
+    "крещена": "крещена", "венчался": "венчался", "венчалась": "венчалась", "погребён": "погребён", "погребена": "погребена",
+    "похоронен": "похоронен", "похоронена": "похоронена", "сын": "сын", "дочь": "дочь", "отец": "отец", "мать": "мать", "муж": "муж",
+    "жена": "жена", "супруг": "супруг", "супруга": "супруга", "брак": "брак", "бракосочетание": "бракосочетание", "иван": "Иван",
+    "анна": "Анна", "мария": "Мария", "пётр": "Пётр", "александр": "Александр", "алексей": "Алексей", "екатерина": "Екатерина",
+    "елена": "Елена", "ольга": "Ольга", "татьяна": "Татьяна", "надежда": "Надежда", "николай": "Николай", "михаил": "Михаил",
+    "владимир": "Владимир", "дмитрий": "Дмитрий", "сергей": "Сергей", "иванов": "Иванов", "петров": "Петров", "сидоров": "Сидоров",
+    "кузнецов": "Кузнецов", "смирнов": "Смирнов", "попов": "Попов", "васильев": "Васильев", "зайцев": "Зайцев", "соколов": "Соколов",
+    "михайлов": "Михайлов", "фёдоров": "Фёдоров", "белов": "Белов", "козлов": "Козлов", "новиков": "Новиков", "морозов": "Морозов",
+    "волков": "Волков", "родившись": "родился", "от": "отец", "мат": "мать", "петр": "Пётр", "федоров": "Фёдоров",
+}
 
 # Punctuation that is stripped from both ends of a word before a lookup.
 WORD_EDGES = ".,:;!?\"'()[]{}"

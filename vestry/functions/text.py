@@ -55,15 +55,6 @@ def fix_ocr(t: Column) -> Column:
     return F.regexp_replace(t, U + r"\s{2,}", " ")
 
 
-def spelling_dictionary() -> dict[str, str]:
-    return (
-        dict(zip(fixed.MONTHS_GENITIVE, fixed.MONTHS_NOMINATIVE))
-        | {w: w for w in fixed.SPELLING_KEPT}
-        | {w.lower(): w for w in fixed.SPELLING_NAMES}
-        | fixed.SPELLING_CHANGED
-    )
-
-
 def literal_map(d: dict) -> Column:
     """A constant map of strings, from a single literal: a large one is quick to build and to analyse."""
     return F.str_to_map(F.lit("\x1e".join(f"{k}\x1f{v}" for k, v in d.items())), F.lit("\x1e"), F.lit("\x1f"))
@@ -87,7 +78,7 @@ def correct_spelling(t: Column, keep_lead: bool = False) -> Column:
     repeats its last letters; ``keep_lead`` puts punctuation back where it was.
     """
     edges = "".join("\\" + c for c in fixed.WORD_EDGES)
-    words = literal_map(spelling_dictionary())
+    words = literal_map(fixed.SPELLING)
 
     def correct(w):
         clean = F.regexp_replace(w, f"^[{edges}]+|(?<![{edges}])[{edges}]+$", "")

@@ -67,10 +67,7 @@ def ocr(t):
 
 
 def spelling(t):
-    d = dict(zip(fixed.MONTHS_GENITIVE, fixed.MONTHS_NOMINATIVE))
-    d |= {x: x for x in fixed.SPELLING_KEPT}
-    d |= {x.lower(): x for x in fixed.SPELLING_NAMES}
-    d |= fixed.SPELLING_CHANGED
+    d = fixed.SPELLING
     edges = "".join("\\" + c for c in fixed.WORD_EDGES)
     clean = f"list_transform({words(t)}, lambda w: {{'w': w, 'c': {rep('w', f'^[{edges}]+|[{edges}]+$', '')}}})"
     found = f"list_transform({clean}, lambda p: {{'w': p.w, 'c': p.c, 'f': {look(d, 'lower(p.c)')}}})"
@@ -430,6 +427,9 @@ ORACLE = {
     "family_groups": ctes(*PEOPLE)
     + "select surname, count(*) as size, min(rec_id) as first_seen, arg_min(name, rec_id * 10 + role_no) as first_name, arg_min(role, rec_id * 10 + role_no) as first_role from people group by surname having count(*) >= 2",
     "family_sizes": ctes(*PEOPLE) + "select surname, count(*) as size, min(rec_id) as first_seen from people group by surname having count(*) >= 2",
+    "family_members": ctes(*PEOPLE) + "select surname, size, first_seen, rec_id, role_no, role, name from people join (select surname, count(*) as size, min(rec_id) as first_seen from people group by surname having count(*) >= 2) using (surname)",
+    "kin_classes": ctes(("people", fx.KIN))
+    + "select *, (fathers + mothers) * children as edges from (select surname, count(*) filter (role = 'father_name') as fathers, count(*) filter (role = 'mother_name') as mothers, count(*) filter (role = 'child_name') as children, count(*) filter (role = 'groom_name') as grooms, count(*) filter (role = 'bride_name') as brides from people group by surname)",
     "relationships": ctes(*PEOPLE) + kin("people") + " union all " + SPOUSES,
     "kinship": ctes(("people", fx.KIN)) + kin("people"),
     "profile_segments": ctes(("profile", fx.PROFILE), ("runs", runs(1.0))) + SEG.format(n=1),

@@ -249,6 +249,16 @@ def kinship(spark, sf_dir):
     return resolve.relationships(fx.build(spark, sf_dir, fx.KIN)).drop("surname")
 
 
+@query
+def family_members(spark, sf_dir):
+    return resolve.resolve_batch(extracted(spark, sf_dir), expand=False)["family_members"]
+
+
+@query
+def kin_classes(spark, sf_dir):
+    return resolve.kin_classes(fx.build(spark, sf_dir, fx.KIN))
+
+
 def _segments(spark, sf_dir):
     return fx.build(spark, sf_dir, fx.ROWS), fx.build(spark, sf_dir, fx.COLUMNS)
 
