@@ -11,11 +11,12 @@ from types import SimpleNamespace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE, LONG, SAME, by_id, edge
-from vestry.llm import attention, common, decontam, embeddings, graph, langid, lm, quality, queries, secrets, sentencepieces, sharding, simhash, tokenfiles
+from vestry.llm import attention, common, decontam, embeddings, graph, langid, lm, quality, queries, secrets, sentencepieces, sharding, simhash, tokenfiles, words
 
 BYTE_BPE = queries.tokenizer_file("byte_bpe_50k.json")
 PIECES = queries.tokenizer_file("piece_bpe_32k.model")
@@ -54,6 +55,53 @@ def test_lm_counts_and_base(spark, sf_dir, documents):
     assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept)
 
 
+def test_words_by_key():
+    rng = random.Random(13)
+    letters = [*"abAB \n\t\x0b\x0c\r", "é", "漢", "\x85", "\xa0", "\x1c", "x" * 5000, "y" * 4096, "  "]
+    texts = [None, "", " ", "a"] + ["".join(rng.choices(letters, k=rng.randint(0, 12))) for _ in range(300)] + ["w" * 1_100_000 + " end", " ".join(str(k) for k in range(200_000))]
+    for kind in (pa.string(), pa.large_string()):
+        column = pa.array(["skipped", *texts], kind).slice(1)
+        got = words.Words(column)
+        want = [lm.words_of(t) for t in texts]
+        assert got.per_text.tolist() == list(map(len, want))
+        flat = [w for ws in want for w in ws]
+        at = np.arange(len(flat))
+        assert got.bytes(at) == flat and got.arrow(at).to_pylist() == flat and got.bytes(at[:5]) == flat[:5]
+        by_key = dict(zip(got.key.tolist(), flat))
+        assert len(by_key) == len(set(flat)) and all(by_key[k] == w for k, w in zip(got.key.tolist(), flat))
+    assert words.Words.of(flat[:50]).key.tolist() == got.key[:50].tolist()
+    assert len(words.Words(pa.array([], pa.string())).key) == 0
+    counts = words.Counts()
+    for part in (column.slice(0, 100), column.slice(100), column.slice(0, 100)):
+        counts.add(words.Words(part))
+    expected = Counter(flat) + Counter(w for ws in want[:100] for w in ws)
+    assert Counter(dict(zip(*(c.to_pylist() for c in counts.take())))) == expected and counts.used == 0
+
+
+def test_key_table():
+    rng = np.random.default_rng(14)
+    keys = np.unique(rng.integers(1, 1 << 40, 5000).astype(np.uint64))
+    keys = np.unique(np.concatenate([keys, np.arange(1, 300, dtype=np.uint64) << np.uint64(20)]))  # many for one place
+    table = words.KeyTable(16)
+    for lo in range(0, len(keys), 700):
+        table.add(keys[lo : lo + 700], np.arange(lo, min(lo + 700, len(keys)), dtype=np.int32))
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    assert (table.find(keys + np.uint64(1 << 50)) == -1).all()
+
+
+def test_lm_tables_that_are_full(spark):
+    """A table of words that is emptied again and again gives the same scores."""
+    texts = [" ".join(f"w{(i * 7 + k) % 300}" for k in range(30)) for i in range(60)]
+    rows = [(b"w1", 9), (b"w2", 9), (lm.END, 60)]
+    model = lambda: lm._fitted(BYTE_BPE, list(rows), texts[:3], 1536, 1, 80.0, 0.5)
+    large, small = lm.WordTable(model()), lm.WordTable(model(), size=40)
+    column = pa.array(texts)
+    want = large.texts(column)
+    got = [small.texts(column.slice(lo, 7)) for lo in range(0, 60, 7)]
+    for k in range(7):
+        assert np.allclose(np.concatenate([g[k] for g in got]), want[k], atol=1e-4)
+
+
 def test_lm_edge(spark):
     got = by_id(lm.score(edge(spark), BYTE_BPE, top=50, steps=2))
     assert sum(map(len, got.values())) == len(EDGE)
