@@ -55,6 +55,30 @@ def test_lm_counts_and_base(spark, sf_dir, documents):
     assert sum(r["score"] for r in kept) > sum(r["base_score"] for r in kept)
 
 
+def test_lm_starts_on_pieces_from_anywhere(spark, monkeypatch):
+    """The start's sample is of pieces of whole texts, and isn't of first ones alone."""
+    seen = []
+    monkeypatch.setattr(lm, "_fitted", lambda file, rows, texts, *rest: seen.append(texts) or SimpleNamespace(frequent={}))
+    monkeypatch.setattr(lm.pickle, "dumps", lambda model: b"")
+    rows = [(i, " ".join(f"t{i}p{k}" for k in range(900))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = lm.word_counts(df)
+    original = type(df).mapInArrow
+
+    def here(self, run, schema):  # what would run in a task, run here
+        if "model binary" not in schema:
+            return original(self, run, schema)
+        batch = self.toArrow().combine_chunks().to_batches()
+        out = list(run(batch))
+        return SimpleNamespace(first=lambda: {"model": out[0].column("model")[0].as_py(), "least": 0})
+
+    monkeypatch.setattr(type(df), "mapInArrow", here)
+    lm.fit(df, counts, BYTE_BPE, "text", F.xxhash64("doc_id"), 100, 10, 50, 400, 1, 0.5)
+    (texts,) = seen
+    assert len(texts) == 50 and all(len(t) <= 400 for t in texts)
+    assert sum("p0 " not in t for t in texts) > 25 and len({t.split()[1].split("p")[0] for t in texts}) > 10
+
+
 def test_words_by_key():
     rng = random.Random(13)
     letters = [*"abAB \n\t\x0b\x0c\r", "é", "漢", "\x85", "\xa0", "\x1c", "x" * 5000, "y" * 4096, "  "]
