@@ -543,4 +543,17 @@ ORACLE = {
       select 'page' || k as page_id, 'data_cell' as type, cast(x1 as int) as x1, cast(y1 as int) as y1, cast(x2 as int) as x2, cast(y2 as int) as y2, cast(nr as varchar) as row, cast(nc as varchar) as col from r join c using (k)
       union all select 'page' || k, 'table', 0, 0, 280, 320, null, null from k
       union all select 'page' || k, 'stamp', 200, 250, 240, 290, null, null from k""",
+    "text_blocks": """with k as (select s_suppkey as k from supplier),
+      b as (select k, 40 + k % 9 as x, 30 as y, 120 + k % 13 as w, 40 as h from k union all select k, 60, 120, 200, 60 + k % 7 from k union all select k, 30, 230, 250, 30 from k)
+      select 'page' || k as page_id, 'text_block' as type, cast(x - 21 as int) as x1, cast(y - 6 as int) as y1, cast(x + w + 21 as int) as x2, cast(y + h + 6 as int) as y2,
+        cast((w + 41) * (h + 11) as bigint) || ' ' || cast(round((w + 42) / (h + 12)::double, 2) as varchar) as note from b""",
+    "page_marks": """with k as (select s_suppkey as k from supplier),
+      b as (select k, 'page_number' as type, 300 + k % 50 as x, 8 + k % 5 as y, 30 + k % 20 as w, 20 as h, 'top_margin' as note from k
+        union all select k, 'marginal_note', 3, 198 + k % 30, 26, 64 + k % 40, 'left_margin' from k
+        union all select k, 'stamp', 500 + k % 40, 300 + k % 30, 40 + k % 15, 40 + k % 15, 'red' from k
+        union all select k, 'stamp', 600, 450, 30 + k % 10, 30 + k % 10, 'blue' from k)
+      select 'page' || k as page_id, type, cast(x as int) as x1, cast(y as int) as y1, cast(x + w as int) as x2, cast(y + h as int) as y2, note from b""",
+    "fallback_grid": """with k as (select s_suppkey as k from supplier), i as (select unnest([0, 1, 2, 3, 4, 5, 6]) as i)
+      select 'page' || k as page_id, 'row' as type, 0 as x1, cast(20 + k % 8 + 40 * i as int) as y1, 0 as x2, cast(32 + k % 8 + 40 * i as int) as y2, cast(null as varchar) as note from k, i
+      union all select 'page' || k, 'column', 0, 0, 400, 0, null from k""",
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vestry import fixed
 from vestry.functions import dates as D
 from vestry.functions import extract as X
+from vestry.functions import pagelayout, pixels
 from vestry.functions import text as T
 from vestry.operators import assist, corpus, images, layout, reading, records, resolve
 from vestry.operators.cleanup import clean
@@ -574,3 +575,70 @@ def region_steps(spark, sf_dir):
 
     pages = _drawn(fx.table(spark, sf_dir, "supplier"), "s_suppkey", _noisy)
     return pages.mapInArrow(run, "path string, region string, height long, width long, least long, most long, mean double")
+
+
+def _found_on(spark, sf_dir, draw, find) -> DataFrame:
+    """What a detector finds on drawn pages, one page per supplier: ``page_id, type, x1, y1, x2, y2, note``."""
+    import pyarrow as pa
+
+    fields = pa.schema([("page_id", pa.string()), ("type", pa.string()), *[(c, pa.int32()) for c in ("x1", "y1", "x2", "y2")], ("note", pa.string())])
+
+    def run(batches):
+        for row in images.rows_of(batches):
+            found = [(row["image"]["origin"], e.type, *e.box, note) for e, note in find(images.decode(row["image"]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*found)) or [()] * 7, fields)], schema=fields)
+
+    pages = _drawn(fx.table(spark, sf_dir, "supplier"), "s_suppkey", draw)
+    return pages.mapInArrow(run, "page_id string, type string, x1 int, y1 int, x2 int, y2 int, note string")
+
+
+def _blank(h: int, w: int, boxes):
+    """A white page with filled boxes ``x, y, w, h, color``."""
+    import numpy as np
+
+    img = np.full((h, w, 3), 255, np.uint8)
+    for x, y, bw, bh, color in boxes:
+        img[y : y + bh, x : x + bw] = color
+    return img
+
+
+@query
+def text_blocks(spark, sf_dir):
+    """Paragraphs on drawn pages without a table, with the area and shape of their outer contours."""
+    def draw(k):
+        return _blank(300, 400, [(40 + k % 9, 30, 120 + k % 13, 40, 60), (60, 120, 200, 60 + k % 7, 60), (30, 230, 250, 30, 60)])
+
+    def find(img):
+        return [(e, f"{e.properties['area']} {e.properties['aspect_ratio']}") for e in pagelayout.text_blocks(pixels.gray(img))]
+
+    return _found_on(spark, sf_dir, draw, find)
+
+
+@query
+def page_marks(spark, sf_dir):
+    """Page numbers, marginal notes and stamps on drawn pages."""
+    def draw(k):
+        boxes = [(300 + k % 50, 8 + k % 5, 30 + k % 20, 20, 0), (5, 200 + k % 30, 22, 60 + k % 40, 50)]
+        size, blue = 40 + k % 15, 30 + k % 10
+        return _blank(600, 800, [*boxes, (500 + k % 40, 300 + k % 30, size, size, (30, 30, 200)), (600, 450, blue, blue, (200, 40, 20))])
+
+    def find(img):
+        g = pixels.gray(img)
+        marks = pagelayout.page_numbers(g) + pagelayout.marginal_notes(g, strict=False) + pagelayout.stamps(img)
+        return [(e, e.properties.get("region") or e.properties.get("color")) for e in marks]
+
+    return _found_on(spark, sf_dir, draw, find)
+
+
+@query
+def fallback_grid(spark, sf_dir):
+    """Rows and columns of drawn pages that have lines of text but no ruled lines."""
+    def draw(k):
+        return _blank(320, 400, [(x, 20 + k % 8 + 40 * i, 1, 12, 0) for i in range(7) for x in range(30, 370, 3)])
+
+    def find(img):
+        grid = pagelayout.any_grid(pixels.gray(img))
+        rows = [(pagelayout.Element("row", (0, a, 0, b), 1.0, ""), None) for a, b in grid.rows]
+        return rows + [(pagelayout.Element("column", (a, 0, b, 0), 1.0, ""), None) for a, b in grid.cols]
+
+    return _found_on(spark, sf_dir, draw, find)
