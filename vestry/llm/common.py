@@ -76,6 +76,12 @@ def settle(make, kind: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes all tables that this process has written; results that read from them are no longer of use."""
+    while _made:
+        _delete(spark, _made.pop())
+
+
 def crc32_of_id(col):
     """crc32 of the decimal text of an id; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
