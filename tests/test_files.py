@@ -165,6 +165,8 @@ def test_pages_to_records(spark, tmp_path):
     assert [(r["start"], r["end"]) for r in cols.orderBy("start").collect()] == [(0, 102), (102, 260)]
     kinds = [r["type"] for r in plan.elements(imgs).collect()]
     assert kinds.count("data_cell") == 8 and kinds.count("header_row") == 1
+    read = plan.read_elements(imgs, plan.elements(imgs, 260), lambda crop: (str(crop.shape), 0.5), {})
+    assert read.count() == len(kinds) and read.where("confidence <> 0.5").count() == 0
     quick = {"denoise": lambda x: x}
     pages_ = plan.process_pages(imgs, lambda crop: ("12.III.1878 р. Иван Петров ", 0.9), quick, skip=("resize", "deskew_robust"))
     page = pages_.first()

@@ -61,20 +61,20 @@ def read_elements(images: DataFrame, found: DataFrame, engine: Callable, backend
     Elements travel to their page's image as one array, so an image is decoded
     once.  ``engine`` takes a crop and returns text and confidence.
     """
-    e = found.where(F.col("type").isin("data_cell", "text_block", "header_row", "record_block"))
-    boxes = e.groupBy("page_id").agg(F.collect_list(F.struct("position", "type", "x1", "y1", "x2", "y2")).alias("boxes"))
+    e = found.where(F.col("type").isin(*ELEMENT_TYPES_READ))
+    region = F.col("region_type") if "region_type" in found.columns else F.lit(None).cast("string")
+    box = F.struct("position", layout.region_of_element(F.col("type"), region).alias("region"), "x1", "y1", "x2", "y2")
+    boxes = e.groupBy("page_id").agg(F.collect_list(box).alias("boxes"))
     pages = images.select(F.col("image.origin").alias("page_id"), "image").join(boxes, "page_id")
 
     def run(batches):
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                img = I.decode(row["image"])
-                for b in row["boxes"] if img is not None else ():
-                    crop = img[b["y1"] : b["y2"], b["x1"] : b["x2"]]
-                    if crop.size:
-                        text, confidence = engine(I.preprocess_region(crop, b["type"], backends))
-                        out.append((row["page_id"], b["position"], text, confidence))
+        for row in I.rows_of(batches):
+            img, out = I.decode(row["image"]), []
+            for b in row["boxes"] if img is not None else ():
+                crop = img[b["y1"] : b["y2"], b["x1"] : b["x2"]]
+                if crop.size:
+                    text, confidence = engine(I.preprocess_region(crop, b["region"], backends))
+                    out.append((row["page_id"], b["position"], text, confidence))
             cols = list(zip(*out)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.string(), pa.float64()))], names=["page_id", "position", "text", "confidence"]
