@@ -79,6 +79,29 @@ def test_lm_starts_on_pieces_from_anywhere(spark, monkeypatch):
     assert sum("p0 " not in t for t in texts) > 25 and len({t.split()[1].split("p")[0] for t in texts}) > 10
 
 
+def test_units_are_the_librarys(spark):
+    from tokenizers import Tokenizer
+
+    rng, library = random.Random(15), Tokenizer.from_file(BYTE_BPE)
+    letters = [*"abcdefghijklmnop'stlr.,-|%1290<>", "é", "ß", "Ɂ", "漢", "😀", "\xa0", "\x85", "²", "<|endoftext|>"]
+    some = list({"".join(rng.choices(letters, k=rng.randint(1, 14))).lower().encode() for _ in range(3000)})
+    some = [w for w in some if w.split() == [w]]
+    units = lm.Units(BYTE_BPE, [])
+    assert units.ranked is not None and lm.by_rank(queries.tokenizer_file("word_bpe_49k.json"), units.encoder.symbols) is None
+
+    def check():
+        raw, n = units.raw(some)
+        ids, last = raw >> 1, np.cumsum(n) - 1
+        assert (raw & 1).sum() == len(some) and (raw[last] & 1).all()
+        for w, part in zip(some, np.split(ids, np.cumsum(n)[:-1])):
+            if "<|endoftext|>" not in w.decode():
+                assert part.tolist() == library.encode(w.decode(), add_special_tokens=False).ids, w
+
+    check()
+    units.ranked = None  # also the way without
+    check()
+
+
 def test_words_by_key():
     rng = random.Random(13)
     letters = [*"abAB \n\t\x0b\x0c\r", "é", "漢", "\x85", "\xa0", "\x1c", "x" * 5000, "y" * 4096, "  "]
