@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,23 +35,28 @@ def tokens(t: Column) -> Column:
 def merge_hyphens(t: Column) -> Column:
     """Joins words cut at a line end, and those cut within a line if the first part has over two characters."""
     # a match begins at a word's start: said so, a very long word is tried once and not from each of its letters
-    t = F.regexp_replace(t, U + r"(?<!\w)(\w+)-\s*\n\s*(\w+)", "$1$2")
+    t = replace_where(t, "-", U + r"(?<!\w)(\w+)-\s*\n\s*(\w+)", "$1$2")
     # the first branch takes in what stays, so that it is passed over whole
-    return F.regexp_replace(t, U + r"(?<!\w)(?:(\w{1,2}-\s+\w+)|(\w{3,})-\s+(\w+))", "$1$2$3")
+    return replace_where(t, "-", U + r"(?<!\w)(?:(\w{1,2}-\s+\w+)|(\w{3,})-\s+(\w+))", "$1$2$3")
+
+
+def replace_where(t: Column, holds: str, pattern: str, new: str) -> Column:
+    """``regexp_replace`` of texts that hold what every match holds; the others aren't searched by the pattern."""
+    return let(t, lambda x: F.when(F.contains(x, F.lit(holds)), F.regexp_replace(x, pattern, new)).otherwise(x))
 
 
 def expand_abbreviations(t: Column) -> Column:
     for i, (short, full) in enumerate(fixed.ABBREVIATIONS):
         before_word = short == "у" and i > 2
-        t = F.regexp_replace(t, U + rf"\b{short}\." + (r"\b" if before_word else r"\s"), full + " ")
+        t = replace_where(t, f"{short}.", U + rf"\b{short}\." + (r"\b" if before_word else r"\s"), full + " ")
     return t
 
 
 def fix_ocr(t: Column) -> Column:
     for wrong, right in fixed.OCR_REPAIRS:
-        t = F.regexp_replace(t, wrong, right)
+        t = replace_where(t, max(re.split(r"\[.*?\]", wrong), key=len), wrong, right)
     t = F.translate(t, "".join(fixed.OLD_LETTERS), "".join(fixed.OLD_LETTERS.values()))
-    t = F.regexp_replace(t, U + r"(?<=\w)ъ\b", "")
+    t = replace_where(t, "ъ", U + r"(?<=\w)ъ\b", "")
     t = F.regexp_replace(t, U + r"(?<!\s)\s+\.", ".")
     t = F.regexp_replace(t, U + r"\.\s+\.", ".")
     return F.regexp_replace(t, U + r"\s{2,}", " ")
