@@ -290,3 +290,26 @@ def test_cascade():
     assert ocr.Cascade(None, None, say("ccc", 0.5))(crop) == ("ccc", 0.5) and ocr.registered({})(crop) == ("", 0.0)
     for engine in (ocr.TrOCR("no model"), ocr.EasyOCR(), ocr.Tesseract(program="no such program")):
         assert engine(crop) == ("", 0.0)
+
+
+def test_stamps_look_in_full_at_vivid_pixels_only(monkeypatch):
+    img = np.full((300, 400, 3), 240, np.uint8)
+    img[100:140, 200:240] = (30, 30, 200)
+    img[0:30, 0:30] = (200, 40, 20)  # at the page's corner
+    img[200:220, 50:300] = 0
+    whole, looked = vision.to_hsv, []
+    monkeypatch.setattr(vision, "to_hsv", lambda x: looked.append(x.size // 3) or whole(x))
+    found = [(e.box, e.properties["color"]) for e in pagelayout.stamps(img)]
+    assert found == [((200, 100, 240, 140), "red"), ((0, 0, 30, 30), "blue")]
+    assert sum(looked) == 40 * 40 + 30 * 30
+
+
+def test_contours_look_at_the_box_around_the_parts(monkeypatch):
+    mask = np.zeros((500, 600), bool)
+    mask[400:420, 500:530] = True
+    mask[405:410, 505:510] = False
+    seen, runs = [], vision._Runs
+    monkeypatch.setattr(vision, "_Runs", lambda m, diagonal: seen.append(m.size) or runs(m, diagonal))
+    (c,) = vision.contours(mask)
+    assert (c.x, c.y, c.w, c.h, c.area) == (500, 400, 30, 20, 29 * 19)
+    assert max(seen) <= 22 * 32
