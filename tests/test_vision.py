@@ -321,3 +321,14 @@ def test_denoise_takes_many_neighbours_at_once(monkeypatch):
     monkeypatch.setattr(vision.np, "exp", lambda *a, **k: calls.append(1) or exp(*a, **k))
     vision.denoise(g)
     assert len(calls) < 60  # there are 220 neighbours
+
+
+def test_denoise_leaves_even_surroundings_out(monkeypatch):
+    page = np.full((120, 300), 250, np.uint8)
+    page[:, 100:104] = 0
+    whole = vision._rounded(vision._means(np.pad(page, 13, mode="reflect")[..., None], 3, 7, 21))[..., 0]
+    means, sizes = vision._means, []
+    monkeypatch.setattr(vision, "_means", lambda x, *a: sizes.append((x.shape[0] - 26) * (x.shape[1] - 26)) or means(x, *a))
+    assert (vision.denoise(page) == whole).all()
+    assert sum(sizes) < 0.15 * page.size
+    assert (vision.denoise(page[:, :60]) == 250).all() and len(sizes) == 2
