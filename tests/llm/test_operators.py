@@ -275,6 +275,15 @@ def test_lm_learns_from_whole_texts_of_more_rows(spark):
     assert longer * 41 == more * 8001  # 2 units a pair and the end: the same rows, whole
 
 
+def test_lm_score_learns_from_all_training_texts(spark, monkeypatch):
+    rows = [(i, "a b " * 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    refine, trained = lm.refine, []
+    monkeypatch.setattr(lm, "refine", lambda *a, **k: trained.append(refine(*a, **k)) or trained[-1])
+    got = lm.score(df, BYTE_BPE, steps=1, sample_rows=5).collect()
+    assert trained[0][1] == 11 * sum(not r["held_out"] for r in got)  # 10 words of one unit and the end, of each text
+
+
 # 2
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)

@@ -4,7 +4,7 @@ Two things are learned from the training documents: the counts of all words of
 all of them, a distributed table that grows with the corpus; and a causal
 self-attention model over subword units (:mod:`vestry.llm.attention`), started
 in numpy on a bounded sample and then trained, partition by partition, on the
-whole texts of a share of all rows.  A word's probability is a mixture of its
+whole texts of all training rows.  A word's probability is a mixture of its
 smoothed share and of the product of its units' probabilities; a word's last
 unit is marked, so units spell each word in one way and the parts of the
 mixture add up.
@@ -385,7 +385,9 @@ def refine(
     """
     share = min(1.0, max(share, least_rows / max(1, texts_seen)))
     sample = train.select(F.col(text_col).alias("text"), order.alias("h")).where(F.col("h") <= hash_share(share))
-    sample = written(sample.select("text", F.pmod(F.xxhash64("h"), F.lit(rounds)).cast("int").alias("turn")), "sample")
+    sample = sample.select("text", F.pmod(F.xxhash64("h"), F.lit(rounds)).cast("int").alias("turn"))
+    if share < 1:  # a copy of all texts would cost more than to read them again in each round
+        sample = written(sample, "sample")
     fields, done = "p binary, n long", 0
 
     def packed(total, weight):
@@ -499,13 +501,13 @@ def score(
     sample_chars: int = 6000,
     steps: int = 500,
     mix: float = 0.5,
-    train_share: float = 0.125,
+    train_share: float = 1.0,
 ) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs``.
 
     Rows whose id's crc32 modulo ``held_out_of`` is not ``held_out`` are learned
     from: words of all of them, the attention model of the whole texts of
-    ``train_share`` of them.  Scores are log10 probabilities of a text's words and its end.
+    ``train_share`` of them, which is all unless it is made smaller.  Scores are log10 probabilities of a text's words and its end.
 
     * null or empty text: only the end;
     * very long texts: learned from and scored whole, in chunks of windows that
