@@ -618,6 +618,18 @@ def test_components(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("few", [0, graph.FEW])
+def test_components_by_steps_and_by_the_driver(spark, monkeypatch, few):
+    monkeypatch.setattr(graph, "FEW", few)
+    steps, least = [], graph._with_least
+    monkeypatch.setattr(graph, "_with_least", lambda *a: steps.append(1) or least(*a))
+    edges = [(1 << 62, 7), (7, 9), (9, 9), (20, 21), (22, 21), (7, 1 << 62), (-5, 30), *[(100 + i, 101 + i) for i in range(40)], (55, 55)]
+    df = graph.connected_components(spark.createDataFrame(edges + [(None, 3), (3, None)], "src long, dst long"))
+    want = {1 << 62: 7, 7: 7, 9: 7, 20: 20, 21: 20, 22: 20, -5: -5, 30: -5} | {100 + i: 100 for i in range(41)}
+    assert df.columns == ["node", "component"] and {r["node"]: r["component"] for r in df.collect()} == want and df.count() == len(want)
+    assert (len(steps) > 0) == (few == 0)
+
+
 def test_components_of_large_ids_and_hubs(spark):
     top = (1 << 63) - 1
     edges = [(top - k, top - k - 1) for k in range(5)] + [(0, k) for k in range(1, 400)] + [(3000 + k, 2000) for k in range(400)] + [(2000, 399)]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,9 @@ from vestry.llm.common import drop_written, written
 
 #: Nodes with more than one in so many edges are hubs; there are at most twice as many.
 HUBS = 4096
+#: So many edges at most are finished by the driver: 2 MB of ids. Each step over them would be a dozen shuffles and
+#: broadcasts, whose plans and code take the driver far more memory.
+FEW = 1 << 17
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -31,6 +36,20 @@ def _with_least(edges: DataFrame, key: str, other: str, total: int, least) -> Da
     return edges.join(hubs, key).select(key, other, "m").unionByName(rest.select(key, other, "m"))
 
 
+def smallest_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some edges, and the smallest node that each can reach."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        x, y = label[a], label[b]
+        if (x == y).all():
+            return nodes, nodes[label]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != (up := label[label])).any():
+            label = up
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Smallest reachable node of each node that has an edge.
 
@@ -41,7 +60,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     A step keeps connectivity and only re-hangs edges on smaller neighbours;
     after O(log^2 n) steps each component is a star around its smallest node.
     Hubs' edges stay where they are (:func:`_with_least`).  Every step is
-    written to the shared folder, and the step before it deleted.
+    written to the shared folder, and the step before it deleted.  Up to ``FEW``
+    edges are finished by the driver instead, whatever the size of what they come from.
     """
     a, b = F.col(src).cast("long"), F.col(dst).cast("long")
     e = written(
@@ -53,6 +73,11 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
     state = _fingerprint(e)
     while state[0]:
+        if state[0] <= FEW:
+            few = e.toArrow()
+            nodes, least = smallest_reachable(few.column("u").to_numpy(), few.column("v").to_numpy())
+            drop_written(e)
+            return e.sparkSession.createDataFrame(pa.table({"node": nodes, "component": least}))
         both = e.select(F.col("u").alias("x"), F.col("v").alias("y")).union(e.select("v", "u"))
         large = _with_least(both, "x", "y", 2 * state[0], F.least(F.min("y"), F.col("x"))).where("y > x")
         large = large.select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
