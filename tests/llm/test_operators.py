@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from types import SimpleNamespace
@@ -248,6 +249,37 @@ def test_attention_gradients():
         assert math.isclose((up - down) / (2 * h), g[at], rel_tol=1e-2, abs_tol=1e-3), k
 
 
+def op1_batch():
+    """The operator's shape, start values, and a batch of chunks of which some reach beyond their texts."""
+    shape = attention.Shape(units=2050, head=128, cluster=128, hidden=32)
+    rng = np.random.default_rng(3)
+    lengths = rng.integers(1, 60, 120)
+    args = attention.windows((rng.random(int(lengths.sum())) ** 3 * 2048).astype(np.int32), lengths, shape)
+    return shape, attention.fresh(shape, np.ones(2049)), [a[:256] for a in args]
+
+
+def test_attention_step_uses_its_memory_again():
+    shape, p, args = op1_batch()
+    adam = attention.Adam(p)
+    adam.step(shape, *args, 1e-3)
+    tracemalloc.start()
+    adam.step(shape, *args, 1e-3)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 4e6, peak  # of some 12 MB that a step works on
+
+
+def test_attention_gradients_of_any_level():
+    """A level that all logits share changes no gradient, too large or too small for exponents as it may be."""
+    shape, p, args = op1_batch()
+    loss, want = attention.gradients(p, shape, *args)
+    for level in (-300, 300):
+        got_loss, got = attention.gradients(p | {"bh": p["bh"] + np.float32(level), "bt": p["bt"] + np.float32(level)}, shape, *args)
+        assert math.isclose(got_loss, loss, rel_tol=1e-4)
+        for k in want:
+            assert np.allclose(got[k], want[k], atol=2e-3 * abs(want[k]).max()), k
+
+
 def test_lm_model_sizes():
     model = lm._fitted(BYTE_BPE, [(b"a", 3), (lm.END, 1)], ["a a a"], 1536, 1, 4.0, 0.5)
     shape = model.shape

@@ -11,6 +11,7 @@ once, and all chunks of a batch go through masked attention together.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -99,6 +100,37 @@ def _seen(begin: np.ndarray, shape: Shape) -> np.ndarray:
     return np.arange(shape.context + shape.stride)[None, :] >= shape.context - begin[:, None]
 
 
+def _times(a: np.ndarray, w: np.ndarray, out: np.ndarray, rows: int = 64) -> np.ndarray:
+    """``a @ w`` a few rows at a time: the library takes small products without packing them."""
+    cut = len(a) // rows * rows
+    np.matmul(a[:cut].reshape(-1, rows, a.shape[1]), w, out=out[:cut].reshape(-1, rows, w.shape[1]))
+    if cut < len(a):
+        np.matmul(a[cut:], w, out=out[cut:])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray, rows: int = 64) -> np.ndarray:
+    """``a.T @ b``, as :func:`_times`."""
+    cut = len(a) // rows * rows
+    total = np.matmul(a[:cut].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:cut].reshape(-1, rows, b.shape[1])).sum(0)
+    if cut < len(a):
+        total += a[cut:].T @ b[cut:]
+    return total
+
+
+class Rooms:
+    """Memory that is used again for every batch: new memory would cost more than what is worked out in it."""
+
+    def __init__(self, dtype=F32):
+        self.dtype, self.rooms = dtype, {}
+
+    def __call__(self, name: str, *shape: int) -> np.ndarray:
+        size = math.prod(shape)
+        if len(self.rooms.get(name, ())) < size:
+            self.rooms[name] = np.empty(size, self.dtype)
+        return self.rooms[name][:size].reshape(shape)
+
+
 class Scorer:
     """Log probabilities (base 10) of units, from fitted parameters.
 
@@ -115,7 +147,7 @@ class Scorer:
         self.by_place = [of(p["pos"], p["wk"]), of(p["pos"], p["wv"]), of(p["pos"][c:], p["wq"] * scale), of(p["pos"][c:], None)]
         self.causal = np.where(_mask(shape), F32(0), F32(-1e9))
         self.head_weight, self.tail_weight = np.exp(p["bh"]), np.exp(p["bt"])
-        self.rooms: dict[str, np.ndarray] = {}
+        self.room = Rooms()
 
     def __call__(self, units: np.ndarray, lengths: np.ndarray, batch: int = 192, at_once: int = 24) -> np.ndarray:
         """Scores of all units; ``batch`` chunks go through attention together, small enough for the cache, and the
@@ -149,25 +181,18 @@ class Scorer:
         out[inside] = lp
         return out
 
-    def _room(self, name: str, *shape: int) -> np.ndarray:
-        """Memory that is used again for every batch: new memory would cost more than what is worked out in it."""
-        size = int(np.prod(shape))
-        if len(self.rooms.get(name, ())) < size:
-            self.rooms[name] = np.empty(size, F32)
-        return self.rooms[name][:size].reshape(shape)
-
     def _hidden(self, inputs, begin, careful: bool):
         """What the layer makes of each place to score."""
         sh = self.shape
         n, w = inputs.shape
         own = inputs[:, sh.context :]
         k, v, q, x = (
-            table.take(at, axis=0, out=self._room(name, *at.shape, sh.dim), mode="clip")
+            table.take(at, axis=0, out=self.room(name, *at.shape, sh.dim), mode="clip")
             for name, table, at in zip("kvqx", self.by_unit, (inputs, inputs, own, own))
         )
         for part, place in zip((k, v, q, x), self.by_place):
             part += place
-        s = np.matmul(q, k.transpose(0, 2, 1), out=self._room("s", n, sh.stride, w))
+        s = np.matmul(q, k.transpose(0, 2, 1), out=self.room("s", n, sh.stride, w))
         s += self.causal
         early = np.flatnonzero(begin < sh.context)  # only a text's first chunks look before its start
         if len(early):
@@ -190,11 +215,11 @@ class Scorer:
         if not inside.all():
             seen = np.flatnonzero(inside.ravel())
             h, y = h[seen], y[seen]
-        z = np.matmul(h, p["w1"], out=self._room("z", len(h), p["w1"].shape[1]))
+        z = _times(h, p["w1"], self.room("z", len(h), p["w1"].shape[1]))
         z += p["b1"]
         np.maximum(z, 0, out=z)
-        h += np.matmul(z, p["w2"], out=self._room("x", len(h), sh.dim))
-        logits = np.matmul(h, p["uh"], out=self._room("logits", len(h), p["uh"].shape[1]))
+        h += _times(z, p["w2"], self.room("x", len(h), sh.dim))
+        logits = _times(h, p["uh"], self.room("logits", len(h), p["uh"].shape[1]))
         rare = y >= sh.head
         top = np.where(rare, sh.head + (y - sh.head) // sh.cluster, y)
         lp = logits[np.arange(len(y)), top]
@@ -211,7 +236,7 @@ class Scorer:
         for c in range(sh.clusters):
             own = order[cuts[c] : cuts[c + 1]]
             if len(own):
-                t = np.matmul(h[own], p["ut"][c], out=self._room("logits", len(own), sh.cluster))
+                t = np.matmul(h[own], p["ut"][c], out=self.room("logits", len(own), sh.cluster))
                 nth = rest[own] - c * sh.cluster
                 right = t[np.arange(len(own)), nth] + p["bt"][c][nth]
                 lp[rare[own]] += right - self._log_total(t, p["bt"][c], self.tail_weight[c], careful)
@@ -226,93 +251,134 @@ class Scorer:
         return np.log(np.exp(logits - top).sum(-1)) + top[:, 0]
 
 
-def _softmax_loss(logits: np.ndarray, bias: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
-    """Summed loss of the right answers ``y``, and its gradient by the logits, which are overwritten."""
-    at = np.arange(len(y))
-    logits += bias
-    if not logits.max() < 60:  # else no exponent is too large
+def _exponents(logits: np.ndarray, again, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """Overwrites logits with their exponents; sums of rows, and the logs of the right answers' shares.
+
+    ``again`` makes the logits anew where an exponent was too large, or all of a row were too small.
+    """
+    at = None if y is None else np.arange(len(y))
+    right = None if y is None else logits[at, y]
+    rows, one = logits.reshape(-1, logits.shape[-1]), np.ones(logits.shape[-1], logits.dtype)
+    with np.errstate(over="ignore"):
+        total = np.exp(rows, out=rows) @ one
+    if not (total.min() > 1e-30 and total.max() < 1e30):
+        again()
         logits -= logits.max(-1, keepdims=True)
-    right = logits[at, y]
-    np.exp(logits, out=logits)
-    total = logits.sum(-1, keepdims=True)
-    logits *= 1 / total
-    logits[at, y] -= 1
-    return float(np.log(total).sum() - right.sum()), logits
+        right = None if y is None else logits[at, y]
+        total = np.exp(rows, out=rows) @ one
+    return total, None if y is None else right - np.log(total)
 
 
-def gradients(p: dict, shape: Shape, inputs, begin, targets) -> tuple[float, dict]:
+def gradients(p: dict, shape: Shape, inputs, begin, targets, rooms: Rooms | None = None) -> tuple[float, dict]:
     """Summed loss (natural logs) and its gradients over one batch of chunks."""
     d, c = shape.dim, shape.context
-    scale = F32(d**-0.5)
+    room = rooms or Rooms(p["emb"].dtype.type)
     flat = lambda x: x.reshape(-1, x.shape[-1])
-    x = p["emb"].take(inputs, axis=0)
+    n, w, s = len(inputs), inputs.shape[1], targets.shape[1]
+    x = p["emb"].take(inputs, axis=0, out=room("x", n, w, d), mode="clip")
     x += p["pos"]
-    xq = np.ascontiguousarray(x[:, c:])
-    wkv = np.concatenate([p["wk"], p["wv"]], axis=1)
-    q, kv = flat(xq) @ (p["wq"] * scale), (flat(x) @ wkv).reshape(*x.shape[:2], 2 * d)
-    q, k, v = q.reshape(xq.shape), kv[..., :d], kv[..., d:]
-    a = q @ k.transpose(0, 2, 1)
-    a += np.where(_mask(shape), 0, -1e9).astype(a.dtype)
+    wkv, wq = np.concatenate([p["wk"], p["wv"]], axis=1), p["wq"] * room.dtype(d**-0.5)
+    kv = _times(flat(x), wkv, room("kv", n * w, 2 * d)).reshape(n, w, 2 * d)
+    k, v, xq = kv[..., :d], kv[..., d:], room("xq", n, s, d)
+    xq[:] = x[:, c:]
+    q = _times(flat(xq), wq, room("q", n * s, d)).reshape(n, s, d)
+    a = room("a", n, s, w)
     early = np.flatnonzero(begin < c)
-    if len(early):
-        a[early] += np.where(_seen(begin[early], shape), 0, -1e9).astype(a.dtype)[:, None, :]
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    h = flat(xq + a @ v)
-    z = h @ p["w1"]
+    unseen = np.where(_seen(begin[early], shape), 0, -1e9).astype(a.dtype)[:, None, :]
+    causal = np.where(_mask(shape), 0, -1e9).astype(a.dtype)
+
+    def attend():
+        np.matmul(q, k.transpose(0, 2, 1), out=a)
+        np.add(a, causal, out=a)
+        a[early] += unseen
+
+    attend()
+    over = 1 / _exponents(a, attend)[0].reshape(n, s, 1)
+    o = np.matmul(a, v, out=room("o", n, s, d))
+    o *= over
+    h = flat(np.add(xq, o, out=room("h", n, s, d)))
+    z = _times(h, p["w1"], room("z", n * s, shape.hidden))
     z += p["b1"]
     np.maximum(z, 0, out=z)
+    gf = _times(z, p["w2"], room("gf", n * s, d))
+    gf += h
     y = targets.ravel()
     seen = y >= 0
-    gf = z @ p["w2"]
-    gf += h
-    whole = bool(seen.all())
-    if not whole:
-        gf, y = gf[seen], y[seen]
     tail = y >= shape.head
-    top = np.where(tail, shape.head + (y - shape.head) // shape.cluster, y)
-    loss, dl = _softmax_loss(gf @ p["uh"], p["bh"], top)
-    out = {"uh": gf.T @ dl, "bh": dl.sum(0), "ut": np.zeros_like(p["ut"]), "bt": np.zeros_like(p["bt"])}
-    dgf = dl @ p["uh"].T
+    top = np.where(tail, shape.head + (y - shape.head) // shape.cluster, np.maximum(y, 0))
+    logits, dgf = room("logits", n * s, p["uh"].shape[1]), room("dgf", n * s, d)
+
+    def frequent():
+        _times(gf, p["uh"], logits)
+        np.add(logits, p["bh"], out=logits)
+
+    frequent()
+    total, right = _exponents(logits, frequent, top)
+    loss = -float(right[seen].sum())
+    logits[np.arange(len(y)), top] -= total  # the gradient by the logits, times the total
+    share = (seen / total).astype(a.dtype)
+    out = {"bh": share @ logits, "ut": np.zeros_like(p["ut"]), "bt": np.zeros_like(p["bt"])}
+    out["uh"] = _crossed(np.multiply(gf, share[:, None], out=room("g", n * s, d)), logits)
+    _times(logits, np.ascontiguousarray(p["uh"].T), dgf)
+    dgf *= share[:, None]
     rare = np.flatnonzero(tail)
-    rare = rare[np.argsort(top[rare], kind="stable")]
-    cuts = np.searchsorted(top[rare], shape.head + np.arange(shape.clusters + 1)).tolist()
-    for j in range(shape.clusters):
-        own = rare[cuts[j] : cuts[j + 1]]
-        if len(own):
-            g = gf[own]
-            more, dl = _softmax_loss(g @ p["ut"][j], p["bt"][j], y[own] - shape.head - j * shape.cluster)
-            loss += more
-            out["ut"][j], out["bt"][j] = g.T @ dl, dl.sum(0)
-            dgf[own] += dl @ p["ut"][j].T
-    dg = dgf
-    if not whole:
-        dg = np.zeros((targets.size, d), dgf.dtype)
-        dg[seen] = dgf
-    dz = dg @ p["w2"].T
+    rare = rare[np.argsort(top[rare].astype(np.uint16), kind="stable")]
+    if len(rare):
+        cuts = np.searchsorted(top[rare], shape.head + np.arange(shape.clusters + 1)).tolist()
+        parts = [(j, slice(lo, hi)) for j, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+        g = gf.take(rare, axis=0, out=room("rare", len(rare), d), mode="clip")
+        logits = room("logits", len(rare), shape.cluster)
+
+        def within():
+            for j, own in parts:
+                part = np.matmul(g[own], p["ut"][j], out=logits[own])
+                part += p["bt"][j]
+
+        within()
+        nth = (y[rare] - shape.head) % shape.cluster
+        total, right = _exponents(logits, within, nth)
+        loss -= float(right.sum())
+        logits[np.arange(len(rare)), nth] -= total
+        share = 1 / total
+        dg, backward = room("more", len(rare), d), np.ascontiguousarray(p["ut"].transpose(0, 2, 1))
+        for j, own in parts:
+            np.matmul(share[own], logits[own], out=out["bt"][j])
+            np.matmul(logits[own], backward[j], out=dg[own])
+        g *= share[:, None]
+        for j, own in parts:
+            np.matmul(g[own].T, logits[own], out=out["ut"][j])
+        dg *= share[:, None]
+        dgf[rare] += dg
+    dz = _times(dgf, np.ascontiguousarray(p["w2"].T), room("dz", n * s, shape.hidden))
     dz *= z > 0
-    out["w2"], out["w1"], out["b1"] = z.T @ dg, h.T @ dz, dz.sum(0)
-    dh = (dg + dz @ p["w1"].T).reshape(xq.shape)
-    da = dh @ v.transpose(0, 2, 1)
-    dkv = np.empty_like(kv)
-    dkv[..., d:] = a.transpose(0, 2, 1) @ dh
-    da -= np.einsum("ijk,ijk->ij", da, a)[..., None]
+    one = np.ones(n * s, a.dtype)
+    out["w2"], out["w1"], out["b1"] = _crossed(z, dgf), _crossed(h, dz), one @ dz
+    dh = _times(dz, np.ascontiguousarray(p["w1"].T), room("dh", n * s, d))
+    dh += dgf
+    dh = dh.reshape(n, s, d)
+    g = np.multiply(dh, over, out=room("g", n, s, d))
+    da = np.matmul(g, v.transpose(0, 2, 1), out=room("da", n, s, w))
+    da -= np.einsum("ijk,ijk->ij", g, o)[..., None]
     da *= a
-    dq = da @ k
-    dq *= scale
-    dkv[..., :d] = da.transpose(0, 2, 1) @ q
-    both = flat(x).T @ flat(dkv)
-    out["wq"], out["wk"], out["wv"] = flat(xq).T @ flat(dq), both[:, :d], both[:, d:]
-    dx = (flat(dkv) @ wkv.T).reshape(x.shape)
-    dh += (flat(dq) @ p["wq"].T).reshape(dh.shape)
+    dkv = room("dkv", n, w, 2 * d)
+    np.matmul(a.transpose(0, 2, 1), g, out=dkv[..., d:])
+    np.matmul(da.transpose(0, 2, 1), q, out=dkv[..., :d])
+    dq = flat(np.matmul(da, k, out=room("dq", n, s, d)))
+    both = _crossed(flat(x), flat(dkv))
+    out["wq"], out["wk"], out["wv"] = _crossed(flat(xq), dq) * room.dtype(d**-0.5), both[:, :d], both[:, d:]
+    dx = _times(flat(dkv), np.ascontiguousarray(wkv.T), room("dx", n * w, d)).reshape(n, w, d)
+    dh += _times(dq, np.ascontiguousarray(wq.T), room("o", n * s, d)).reshape(n, s, d)
     dx[:, c:] += dh
-    out["pos"] = dx.sum(0)
+    out["pos"] = (one[:n] @ dx.reshape(n, w * d)).reshape(w, d)
     out["emb"] = np.zeros_like(p["emb"])
     ids = inputs.ravel().astype(np.uint16 if shape.units <= 1 << 16 else np.int64)
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.diff(ids[order].astype(np.int64), prepend=-1))
-    out["emb"][ids[order[first]]] = np.add.reduceat(flat(dx)[order], first, axis=0)
+    ids = ids[order]
+    first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+    sums = flat(dx).take(order, axis=0, out=room("kv", n * w, d), mode="clip")
+    if d % 2 == 0:  # two numbers at once
+        sums = sums.view(np.result_type(sums.dtype, np.complex64))
+    out["emb"][ids[first]] = np.add.reduceat(sums, first, axis=0).view(a.dtype)
     return loss, out
 
 
@@ -320,29 +386,35 @@ class Adam:
     """Steps on parameters in place."""
 
     def __init__(self, p: dict[str, np.ndarray]):
+        if not all(v.flags.c_contiguous for v in p.values()):
+            raise ValueError("steps need parameters in the order of C")
         self.p, self.t = p, 0
         self.m = {k: np.zeros_like(v) for k, v in p.items()}
         self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.rooms = Rooms(p["emb"].dtype.type)
 
     def step(self, shape: Shape, inputs, begin, targets, rate: float) -> None:
         self.t += 1
-        _, grad = gradients(self.p, shape, inputs, begin, targets)
+        _, grad = gradients(self.p, shape, inputs, begin, targets, self.rooms)
         n = max(1, int((targets >= 0).sum()))
         lr = rate * min(1, self.t / 20)
         by, root = lr / (1 - 0.9**self.t), (1 - 0.99**self.t) ** -0.5
-        for k, g in grad.items():
-            g *= F32(1 / n)
-            m, s = self.m[k], self.s[k]
-            m *= F32(0.9)
-            m += F32(0.1) * g
-            s *= F32(0.99)
-            g *= g
-            s += F32(0.01) * g
-            np.sqrt(s, out=g)
-            g *= F32(root)
-            g += F32(1e-8)
-            np.divide(m, g, out=g)
-            self.p[k] -= F32(by) * g
+        for k, grad_of in grad.items():
+            whole = [x.reshape(-1) for x in (grad_of, self.m[k], self.s[k], self.p[k])]
+            for lo in range(0, len(whole[0]), 1 << 14):  # so much stays in the cache
+                g, m, s, p = (x[lo : lo + (1 << 14)] for x in whole)
+                g *= F32(0.1 / n)
+                m *= F32(0.9)
+                m += g
+                s *= F32(0.99)
+                g *= g  # 0.01 of the gradient's square
+                s += g
+                np.sqrt(s, out=g)
+                g *= F32(root)
+                g += F32(1e-8)
+                np.divide(m, g, out=g)
+                g *= F32(by)
+                p -= g
 
 
 def train(
